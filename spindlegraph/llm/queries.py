@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from spindlegraph.llm import jaccard_join
+from spindlegraph.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
 from spindlegraph.llm.shared import table
 
 
+def op1_mix_sources(spark, sf_dir):
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
-SQL = {"op4_ngram_jaccard_join": jaccard_join.PAIRS_SQL}
+def op8_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard_join, op8_packing, op9_substring_dedup, op10_toxicity)}
+SQL = {"op4_ngram_jaccard_join": jaccard_join.PAIRS_SQL, "op9_substring_dedup": substring_dedup.PASSAGES_SQL}

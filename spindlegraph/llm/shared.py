@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20, max_rows: int = 4095) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = (2 << 20) - 2, max_rows: int = 4095) -> Iterator[pa.RecordBatch]:
     """Slices of at most max_rows rows and, unless one text alone is longer, max_bytes of text; nulls in the column become empty texts."""
     for batch in batches:
         k = batch.schema.get_field_index(column)

@@ -36,7 +36,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = _powers(max(1 << 22, 1 << int(n).bit_length()))
+    a, b = _powers(max(1 << 21, 1 << int(n - 1).bit_length()))
     return a[:n], b[:n]
 
 
@@ -117,3 +117,17 @@ def words(texts: pa.Array, alter: np.ndarray | None = None, space: np.ndarray =
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Every ASCII byte but letters and digits parts words here; bytes of other characters are letters.
+NOT_ALNUM = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
+
+
+def counted(texts: pa.Array) -> np.ndarray:
+    """Number of words of each text."""
+    data, at = raw(texts)
+    word = np.zeros(len(data) + 1, bool)
+    np.logical_not(SPACE[data], out=word[1:])
+    begins = word[1:] & ~word[:-1]
+    cut = at[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    begins[cut] = word[1:][cut]
+    return np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
