@@ -74,9 +74,9 @@ def suffixes(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Of segments (symbol arrays, 1 and up) that each belong to a document."""
+    """Of distinct segments (symbol arrays, 1 and up), with the smallest document that has each and whether others have it too."""
 
-    def __init__(self, segments: list[np.ndarray], document: np.ndarray, window: int):
+    def __init__(self, segments: list[np.ndarray], document: np.ndarray, many: np.ndarray, window: int):
         length = np.array([len(s) for s in segments])
         m, longest = len(segments), int(length.max())
         text = np.concatenate([x for s in segments for x in (s, np.zeros(1, s.dtype))]).astype(np.int64)
@@ -89,8 +89,10 @@ class Index:
         self.wavelet = Wavelet(text[order - 1], kinds)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))[:-1]])
         owner = np.repeat(document, length + 1)[order]
+        # up to where the suffixes from each on belong to one document
         change = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        self.next_owner = np.append(change, n + 1)[np.searchsorted(change, np.arange(n), side="right")]
+        shared = np.flatnonzero(np.repeat(many, length + 1)[order])
+        self.next_owner = np.minimum(np.append(change, n + 1)[np.searchsorted(change, np.arange(n), side="right")], np.append(shared, n + 1)[np.searchsorted(shared, np.arange(n))])
         # the suffixes that share their first `window` symbols, and the smallest document among them
         new = np.concatenate([[True], self.lcp[1:n] < window])
         self.of, at = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -115,7 +117,7 @@ class Index:
         return lo, hi
 
     def repeats(self, must: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each segment, all places whose next `window` symbols occur in another document as well: segment, place, and whether one of a smaller number has them.
+        """For each segment, all places whose next `window` symbols occur in another document as well: segment, place, and the smallest document that has them.
 
         Each segment is streamed from its end against the index. A state is the longest match that starts at the present
         place and occurs in another document; where a symbol can't be put before it, it gives up its tail, to the next
@@ -125,36 +127,34 @@ class Index:
         base = np.cumsum(self.length) - self.length
         live = np.arange(len(self.segments))
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n)
-        size = np.zeros(len(live), np.int64)
-        place = self.length - 1
+        size, begin = np.zeros(len(live), np.int64), self.length.copy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
-            c = flat[base[live] + place]
-            todo = np.arange(len(live))
-            while len(todo):
-                r = self.wavelet.rank(np.concatenate([c[todo], c[todo]]), np.concatenate([lo[todo], hi[todo]])) + np.tile(self.before[c[todo]], 2)
-                a, b = r[: len(todo)], r[len(todo) :]
-                ok = b > a
-                ok[ok] = self.next_owner[a[ok]] < b[ok]
-                good = todo[ok]
-                lo[good], hi[good] = a[ok], b[ok]
-                size[good] += 1
-                todo = todo[~ok]
-                end = size[todo] == 0
-                todo = todo[~end]
-                up = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]])
-                lo[todo], hi[todo] = self.wider(lo[todo], hi[todo], up)
-                size[todo] = up
-            long = np.flatnonzero(size >= self.window)
+            # each state takes one step, to the left or to a shorter match
+            c = flat[base[live] + begin - 1]
+            r = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi])) + np.tile(self.before[c], 2)
+            a, b = r[: len(live)], r[len(live) :]
+            ok = b > a
+            ok[ok] = self.next_owner[a[ok]] < b[ok]
+            short = np.flatnonzero(~ok & (size > 0))
+            begin = begin - (ok | (size == 0))
+            lo, hi, size = np.where(ok, a, lo), np.where(ok, b, hi), size + ok
+            up = np.maximum(self.lcp[lo[short]], self.lcp[hi[short]])
+            # a match that can't reach the window with what is left to its left, or not past its must, needn't be widened
+            worth = (up + begin[short] >= self.window) & ((begin[short] > must[0][live[short]]) | (begin[short] + up >= must[1][live[short]]))
+            size[short] = np.where(worth, up, -1)
+            short, up = short[worth], up[worth]
+            lo[short], hi[short] = self.wider(lo[short], hi[short], up)
+            long = np.flatnonzero(ok & (size >= self.window))
             if len(long):
                 k = self.of[lo[long]]
                 lo[long], hi[long], size[long] = self.low[k], self.high[k], self.window
-                out.append((live[long], place[long], self.least[k] < self.document[live[long]]))
+                out.append((live[long], begin[long], self.least[k]))
             # the tail of a match never moves right
-            keep = (place > 0) & (size + place >= self.window) & ((place > must[0][live]) | (place + size >= must[1][live]))
-            live, place, lo, hi, size = live[keep], place[keep] - 1, lo[keep], hi[keep], size[keep]
+            keep = (size >= 0) & (begin > 0) & (size + begin >= self.window) & ((begin > must[0][live]) | (begin + size >= must[1][live]))
+            live, begin, lo, hi, size = live[keep], begin[keep], lo[keep], hi[keep], size[keep]
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         s, p, e = (np.concatenate(x) for x in zip(*out))
         by = np.lexsort((p, s))
         return s[by], p[by], e[by]

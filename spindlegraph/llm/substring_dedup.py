@@ -134,27 +134,55 @@ def _segments(window: int, shards: int):
     return run
 
 
+def _keys(flat: np.ndarray, length: np.ndarray, ends: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """A hash of each segment, its words in order and the place of its gram."""
+    out = np.zeros(len(length), np.uint64)
+    for some in np.array_split(np.arange(len(length)), max(1, len(flat) // 500_000)):
+        if len(some):
+            a, b = int(ends[some[0]] - length[some[0]]), int(ends[some[-1]])
+            n, e = length[some], ends[some] - a
+            nth = (np.arange(b - a) - np.repeat(e - n, n)).astype(np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat[a:b] + mix(nth + U(1))))])
+            out[some] = mix(sums[e] - sums[e - n] + mix(n.astype(np.uint64) * U(4096) + gram[some].astype(np.uint64)))
+    return out
+
+
 def _search(window: int):
     """Runs of places that are repeated: (doc_id, from, to, earlier); earlier: places whose words a document of smaller id has."""
 
     def run(group: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in group[c]), kind)
-        length, doc, start, gram = join("lengths", np.int32), join("docs", np.int64), join("starts", np.int32).astype(np.int64), join("grams", np.int32)
-        _, symbols = np.unique(join("words", np.uint32), return_inverse=True)
-        ends = np.cumsum(length)
-        segments = [symbols[e - n : e] + 1 for e, n in zip(ends.tolist(), length.tolist())]
-        index = Index(segments, doc, window)
-        s, p, earlier = index.repeats((gram.astype(np.int64), gram.astype(np.int64) + GRAM))
+        length, doc, start, gram = join("lengths", np.int32).astype(np.int64), join("docs", np.int64), join("starts", np.int32).astype(np.int64), join("grams", np.int32).astype(np.int64)
+        flat, ends = join("words", np.uint32), np.cumsum(length)
+        # copies have equal segments: each is indexed and streamed once
+        key = _keys(flat, length, ends, gram)
+        by = np.lexsort((doc, key))
+        edges, cut = _parts(key[by])
+        one, low, many = by[edges], doc[by][edges], doc[by][edges] != doc[by][cut[1:] - 1]
+        of, symbols = np.unique(np.concatenate([flat[e - n : e] for e, n in zip(ends[one].tolist(), length[one].tolist())]), return_inverse=True)
+        stops = np.cumsum(length[one])
+        segments = [symbols[e - n : e] + 1 for e, n in zip(stops.tolist(), length[one].tolist())]
+        s, p, least = Index(segments, low, many, window).repeats((gram[one], gram[one] + GRAM))
+        # runs of places with one smallest document, for every document that has the segment
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1) | (least[1:] != least[:-1])]) if len(s) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(s)) - 1 if len(first) else first
+        copies = np.diff(cut)[s[first]]
+        run = np.repeat(np.arange(len(first)), copies)
+        member = by[edges[s[first]][run] + np.arange(len(run)) - np.repeat(np.cumsum(copies) - copies, copies)]
+        begin, end, earlier = p[first][run] + start[member], p[last][run] + start[member] + window, least[first][run] < doc[member]
         texts, of = np.unique(np.stack([doc, join("idents", np.int64)]), axis=1, return_inverse=True)
-        d, p = of[s], p + start[s]
+        of = of.ravel()[member]
         out = []
         for sub, mark in ((slice(None), False), (earlier, True)):
-            x = np.stack([d[sub], p[sub]], 1)
-            x = x[np.lexsort((x[:, 1], x[:, 0]))]
-            new = np.concatenate([[True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] > x[:-1, 1] + 1)]) if len(x) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(x)) - 1 if len(first) else first
-            out.append((x[first, 0], x[first, 1], x[last, 1] + window, np.full(len(first), mark)))
+            t, a, b = of[sub], begin[sub], end[sub]
+            by_start = np.lexsort((a, t))
+            t, a, b = t[by_start], a[by_start], b[by_start]
+            span = np.int64(int(b.max(initial=0)) + 2)
+            up_to = np.maximum.accumulate(t * span + b)
+            fresh = np.concatenate([[True], t[1:] * span + a[1:] > up_to[:-1]]) if len(t) else np.zeros(0, bool)
+            at = np.flatnonzero(fresh)
+            out.append((t[at], a[at], up_to[np.append(at[1:], len(t)) - 1] % span if len(at) else a[at], np.full(len(at), mark)))
         t, b, c, e = (np.concatenate(v) for v in zip(*out))
         return pa.table({"doc_id": texts[0, t], "ident": texts[1, t], "start_word": b, "end_word": c, "earlier": e})
 
