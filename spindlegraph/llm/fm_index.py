@@ -47,23 +47,23 @@ class Wavelet:
 def suffixes(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array, and the longest common prefix of each suffix with the one before it (0 at the ends); ids differ within longest symbols of any two places."""
     n = len(ids)
-    pad = lambda x: np.concatenate([x, np.zeros(longest * 2 + 8, x.dtype)])
-    first = ids.astype(np.int64) + 1
+    pad = lambda x: np.concatenate([x.astype(np.int32), np.zeros(longest * 2 + 8, np.int32)])
+    first, top = ids + 1, int(ids.max(initial=0)) + 1
     levels, h = [(1, pad(first))], 1
     while True:
         r = levels[-1][1]
-        key = r[:n] * np.int64(n + int(first.max(initial=0)) + 2) + r[h : n + h]
+        key = r[:n].astype(np.int64) * (n + top + 2) + r[h : n + h]
         order = np.argsort(key)
         k = key[order]
         new = np.concatenate([[1], (k[1:] != k[:-1])]).astype(np.int64).cumsum()
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = new
         h *= 2
         levels.append((h, pad(rank)))
         if new[-1] == n or h > longest:
             break
     lcp = np.zeros(n + 1, np.int32)
-    i, j = order[:-1].copy(), order[1:].copy()
+    i, j = order[:-1], order[1:]
     got = np.zeros(n - 1, np.int32)
     for width, r in reversed(levels[:-1]):
         same = r[i + got] == r[j + got]
@@ -92,13 +92,13 @@ class Index:
         # up to where the suffixes from each on belong to one document
         change = np.flatnonzero(owner[1:] != owner[:-1]) + 1
         shared = np.flatnonzero(np.repeat(many, length + 1)[order])
-        self.next_owner = np.minimum(np.append(change, n + 1)[np.searchsorted(change, np.arange(n), side="right")], np.append(shared, n + 1)[np.searchsorted(shared, np.arange(n))])
+        self.next_owner = np.minimum(np.append(change, n + 1)[np.searchsorted(change, np.arange(n), side="right")], np.append(shared, n + 1)[np.searchsorted(shared, np.arange(n))]).astype(np.int32)
         # the suffixes that share their first `window` symbols, and the smallest document among them
         new = np.concatenate([[True], self.lcp[1:n] < window])
-        self.of, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.of, at = np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
         self.low, self.high, self.least = at, np.append(at[1:], n), np.minimum.reduceat(owner, at)
         self.window, self.segments, self.document, self.length = window, segments, document, length
-        self.tables = [self.lcp[:n].astype(np.int16)]
+        self.tables = [np.minimum(self.lcp[:n], 32_000).astype(np.uint8 if longest < 255 else np.int16)]
         while 1 << len(self.tables) <= n:
             t, step = self.tables[-1], 1 << (len(self.tables) - 1)
             self.tables.append(np.minimum(t[:-step], t[step:]))

@@ -1,8 +1,8 @@
 """Passages of `window` words or more that occur in more than one document, found with an FM-index per shard.
 
-Each run of `window` words holds a sampled k-gram, the least of its hashes, so two documents that share a run share that
-gram. Grams that two different texts have choose, wherever they occur, a segment with every run around them; all segments of
-one gram go to one shard. A shard indexes its segments and streams each of them against the index: backward search gives the
+Each run of `window` words holds a sampled k-gram, the first of its least hashes, so two documents that share a run share that
+gram. Grams that two different texts have choose, wherever they occur, a segment of the runs that they are sampled from; all
+segments of one gram go to one shard. A shard indexes its segments and streams each of them against the index: backward search gives the
 matching statistics, and places where they reach `window` are reported. So the work follows the input, and no passage is lost.
 Texts that are equal word for word are one text there, and wholly repeated.
 
@@ -36,31 +36,33 @@ def _idents(w: Words) -> np.ndarray:
     return mix(sums[w.first[1:]] - sums[w.first[:-1]] + w.count.astype(np.uint64)).view(np.int64)
 
 
-def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
-    """f over x[i : i + width] for each i."""
-    have = 1
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value in x[i : i + width] for each i."""
+    have, at = 1, np.arange(len(x), dtype=np.int32)
     while have < width:
         step = min(have, width - have)
-        x = f(x[: len(x) - step], x[step:])
+        later = x[step:] < x[: len(x) - step]
+        x, at = np.where(later, x[step:], x[: len(x) - step]), np.where(later, at[step:], at[: len(at) - step])
         have += step
-    return x
+    return at
 
 
-def _sampled(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams that are the least of some window, and where they begin."""
+def _sampled(w: Words, window: int) -> tuple[np.ndarray, ...]:
+    """Grams that are the first least of some window: hash, first word, and from where to where its windows go."""
+    none = np.zeros(0, np.int64)
     long = np.flatnonzero(w.count >= window)
     if not len(long):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     g, at = w.grams(GRAM)
     in_long = w.count[w.row[at]] >= window
     g, at = g[in_long], at[in_long]
     width = window - GRAM + 1
-    g = np.maximum(g, U(1))
-    least = _slide(g, width, np.minimum)
-    least[w.row[at[: len(least)]] != w.row[at[width - 1 :]]] = 0
-    most = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    chosen = most == g
-    return g[chosen], at[chosen]
+    inside = np.flatnonzero(w.row[at[: len(at) - width + 1]] == w.row[at[width - 1 :]])
+    least = _least(g, width)[inside]
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.append(first[1:], len(least)) - 1
+    k = least[first]
+    return g[k], at[k], at[inside[first]], at[inside[last]] + window
 
 
 def _parts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,7 @@ def _survey(window: int, ranges: int):
         for chunk in text_chunks(batches):
             w = words(chunk.column(1))
             ident, has = _idents(w), np.flatnonzero(w.count >= window)
-            g, at = _sampled(w, window)
+            g, at, _, _ = _sampled(w, window)
             owner = ident[w.row[at]]
             part = ((g >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
             by = np.argsort(part, kind="stable")
@@ -90,20 +92,21 @@ def _survey(window: int, ranges: int):
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Grams that more than one text has: for each text, its own of them."""
+    """Grams that more than one text has: for each text, its own of them, and how often they occur in it."""
     g = np.frombuffer(b"".join(x.as_py() for x in group["grams"]), np.uint64)
     owner = np.frombuffer(b"".join(x.as_py() for x in group["owners"]), np.int64)
     by = np.lexsort((owner, g))
     g, owner = g[by], owner[by]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])]) if len(g) else np.zeros(0, bool)
+    new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])])) if len(g) else np.zeros(0, np.int64)
+    often = np.diff(np.append(new, len(g)))
     g, owner = g[new], owner[new]
     same = g[1:] == g[:-1]
     many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(g) else np.zeros(0, bool)
-    g, owner = g[many], owner[many]
+    g, owner, often = g[many], owner[many], often[many]
     by = np.argsort(owner, kind="stable")
-    g, owner = g[by], owner[by]
+    g, owner, often = g[by], owner[by], often[by]
     edges, cut = _parts(owner)
-    return pa.table({"ident": owner[edges], "grams": pa.array([g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), "n": np.diff(cut)})
+    return pa.table({"ident": owner[edges], "grams": pa.array([g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), "n": np.add.reduceat(often, edges) if len(edges) else edges})
 
 
 def _segments(window: int, shards: int):
@@ -112,16 +115,15 @@ def _segments(window: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, max_rows=1000):
             w = words(chunk.column(1))
-            g, at = _sampled(w, window)
+            g, at, a, b = _sampled(w, window)
             wanted = [np.frombuffer(b"".join(x), np.uint64) if x else np.zeros(0, np.uint64) for x in chunk.column(2).to_pylist()]
             size = [len(x) for x in wanted]
             want = np.sort(mix(np.concatenate([*wanted, np.zeros(0, np.uint64)]) ^ mix(np.repeat(np.arange(len(wanted), dtype=np.uint64), size))))
             key = mix(g ^ mix(w.row[at].astype(np.uint64)))
             i = np.minimum(np.searchsorted(want, key), max(0, len(want) - 1))
             ok = want[i] == key if len(want) else np.zeros(len(g), bool)
-            g, at = g[ok], at[ok]
+            g, at, a, b = g[ok], at[ok], a[ok], b[ok]
             row = w.row[at]
-            a, b = np.maximum(w.first[row], at + GRAM - window), np.minimum(w.first[row + 1], at + window)
             part = ((g >> U(32)) * U(shards) >> U(32)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             part, a, b, at, row = part[by], a[by], b[by], at[by], row[by]
@@ -198,7 +200,7 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     groups = staged(members.groupBy("ident", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("many")))
     shared = staged(survey.where("part >= 0").select("part", "grams", "owners").groupBy("part").applyInArrow(_shared, "ident long, grams binary, n long"))
     much = shared.agg(F.sum("n")).first()[0] or 0
-    shards = max(8, math.ceil(much * (2 * window - GRAM) / SHARD_WORDS))
+    shards = max(8, math.ceil(much * 3 * window / 2 / SHARD_WORDS))
     chosen = shared.groupBy("ident").agg(F.collect_list("grams").alias("grams")).join(groups.select("ident", "low"), "ident").groupBy("low").agg(F.flatten(F.collect_list("grams")).alias("grams")).withColumnRenamed("low", "doc_id")
     segments = texts.join(chosen, "doc_id").select("doc_id", "text", "grams").mapInArrow(_segments(window, shards), "part int, words binary, lengths binary, docs binary, idents binary, starts binary, grams binary")
     hits = segments.groupBy("part").applyInArrow(_search(window), "doc_id long, ident long, start_word long, end_word long, earlier boolean")
