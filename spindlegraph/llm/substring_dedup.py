@@ -79,7 +79,7 @@ def _survey(window: int, ranges: int):
             ident, has = _idents(w), np.flatnonzero(w.count >= window)
             g, at, _, _ = _sampled(w, window)
             owner = ident[w.row[at]]
-            part = ((g >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+            part = ((mix(g) >> U(32)) * U(ranges) >> U(32)).astype(np.int64)  # sampled hashes are small ones
             by = np.argsort(part, kind="stable")
             g, owner, part = g[by], owner[by], part[by]
             edges, cut = _parts(part)
@@ -124,7 +124,7 @@ def _segments(window: int, shards: int):
             ok = want[i] == key if len(want) else np.zeros(len(g), bool)
             g, at, a, b = g[ok], at[ok], a[ok], b[ok]
             row = w.row[at]
-            part = ((g >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+            part = ((mix(g) >> U(32)) * U(shards) >> U(32)).astype(np.int64)  # sampled hashes are small ones
             by = np.argsort(part, kind="stable")
             part, a, b, at, row = part[by], a[by], b[by], at[by], row[by]
             ids = np.asarray(chunk.column(0))
