@@ -148,6 +148,23 @@ def test_jaccard_is_brute_force(spark):
     assert len(sure & got.keys()) >= 0.9 * len(sure) and {k for k in sure if want[k] >= 0.7} <= got.keys()
 
 
+def test_jaccard_loses_no_pair_at_the_threshold(spark):
+    rng, texts = random.Random(2), []
+    for i in range(1500):  # 75 of 125 grams in common: 0.6
+        texts += [" ".join(f"p{i}x{k}" for k in range(101)), " ".join([f"p{i}x{k}" for k in range(76)] + [f"q{i}x{k}" for k in range(25)])]
+    got = {(r.doc_a, r.doc_b): r.similarity for r in jaccard_join.jaccard_pairs(docs(spark, texts)).collect()}
+    assert got == {(2 * i, 2 * i + 1): 0.6 for i in range(1500)}
+    texts = []
+    for _ in range(40):  # common words, sizes from one gram on, and copies within copies
+        base = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.choice([2, 4, 9, 30, 150, 700]))]
+        for _ in range(6):
+            texts.append(" ".join(w if rng.random() > 0.08 else f"w{rng.randrange(300)}" for w in base[: rng.randrange(len(base) * 6 // 10, len(base)) + 1]))
+    sets = [{" ".join(t.split()[i : i + 2]) for i in range(max(1, len(t.split()) - 1))} for t in texts]
+    want = {(i, j): round(len(a & b) / len(a | b), 6) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if 5 * len(a & b) >= 3 * len(a | b)}
+    got = {(r.doc_a, r.doc_b): r.similarity for r in jaccard_join.jaccard_pairs(docs(spark, texts)).collect()}
+    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_quality(spark):
     d = table(spark, SF, "documents")
     kept = {r.doc_id for r in quality.passing(d).collect()}
