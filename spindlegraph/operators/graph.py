@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindlegraph.components import written
-from spindlegraph.functions.text import TIERS, rank, triple_id
+from spindlegraph.functions.text import TIERS, rank, tier, triple_id
 
 MOST_HOPS = 16
 
@@ -19,6 +19,14 @@ def united(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("s", "p", "o").agg(F.max(rank(F.col("tier"))).alias("r"), F.countDistinct("source", "line").alias("sources"), F.count("*").alias("evidence")).select(triple_id(F.col("s"), F.col("p"), F.col("o")).alias("id"), "s", "p", "o", "r", "sources", "evidence")
 
 
+def cited(evidence: DataFrame) -> DataFrame:
+    """Every triple with its best tier, the number of its distinct places and a row for each; a triple without a place has one row without."""
+    place = F.when(F.col("source") != "", F.struct(F.col("source").alias("source_path"), F.col("line").alias("start_line")))
+    found = evidence.groupBy("s", "p", "o").agg(F.max(rank(F.col("tier"))).alias("r"), F.collect_set(place).alias("places"))
+    rows = found.select("s", "p", "o", "r", F.size("places").alias("source_count"), F.explode_outer("places").alias("at"))
+    return rows.select(triple_id(F.col("s"), F.col("p"), F.col("o")).alias("triple_id"), "s", "p", "o", tier(F.col("r")).alias("confidence"), "source_count", "at.source_path", "at.start_line")
+
+
 def filtered(triples: DataFrame, predicates: Sequence[str] = (), least_tier: str | None = None) -> DataFrame:
     if predicates:
         triples = triples.where(F.col("p").isin(*predicates))

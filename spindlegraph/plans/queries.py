@@ -98,6 +98,10 @@ def citations(spark, sf_dir):
     return evidence.select(text.triple_id(F.col("s"), F.col("p"), F.col("o")).alias("triple_id"), F.col("source").alias("source_path"), F.col("line").alias("start_line")).distinct()
 
 
+def citations_all(spark, sf_dir):
+    return graph.cited(star.evidence(spark, sf_dir))
+
+
 def semantic_seeds(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     asked = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
@@ -118,7 +122,7 @@ def slugs(spark, sf_dir):
     return star.nodes(spark, sf_dir).select("id", text.slug(F.col("label")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (provenance_union, filter_predicate_conf, filter_types, term_seeds, resolve_term, edge_projection, neighborhood_1hop, seed_distances, seed_expand_2hop, shortest_path, degree_top, predicate_counts, community_edges, invalidate_paths, diff_triples, token_idf, citations, semantic_seeds, redaction, last_action_wins, slugs)}
+QUERIES = {f.__name__: f for f in (provenance_union, filter_predicate_conf, filter_types, term_seeds, resolve_term, edge_projection, neighborhood_1hop, seed_distances, seed_expand_2hop, shortest_path, degree_top, predicate_counts, community_edges, invalidate_paths, diff_triples, token_idf, citations, citations_all, semantic_seeds, redaction, last_action_wins, slugs)}
 
 _T = "with" + star.SQL
 _NAME = "case {} when 2 then 'EXTRACTED' when 1 then 'INFERRED' else 'AMBIGUOUS' end"

@@ -41,6 +41,20 @@ def test_conflicts_and_difference(spark):
     assert {tuple(r) for r in changes.collect()} == {("t0", "changed"), ("t1", "removed"), ("t2", "added")}
 
 
+def test_every_triple_is_cited(spark):
+    rows = queries.QUERIES["citations_all"](spark, SF).collect()
+    assert {r.p for r in rows} == {"part_of", "located_in", "placed", "contains", "supplies"}
+    places, best = {}, {}
+    for e in queries.star.evidence(spark, SF).collect():
+        places.setdefault((e.s, e.p, e.o), set()).add((e.source, e.line))
+        best[e.s, e.p, e.o] = max(best.get((e.s, e.p, e.o), 0), text.TIERS.index(e.tier))
+    name = lambda *k: "t_" + hashlib.sha256("\0".join(k).encode()).hexdigest()[:16]
+    want = [(name(*k), *k, text.TIERS[best[k]], len(at), *x) for k, at in places.items() for x in at]
+    assert sorted(map(tuple, rows)) == sorted(want)
+    odd = spark.createDataFrame([("a", "p", "b", "f", None, "INFERRED"), ("a", "p", "b", "", 3, "AMBIGUOUS"), ("a", "p", "b", None, 4, "AMBIGUOUS"), ("c", "p", "d", None, 1, "EXTRACTED")], "s string, p string, o string, source string, line int, tier string")
+    assert {tuple(r)[1:] for r in graph.cited(odd).collect()} == {("a", "p", "b", "INFERRED", 1, "f", None), ("c", "p", "d", "EXTRACTED", 0, None, None)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (None, 1), (3, 1)], "a long, b long")
     assert {r.id: r.component for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
