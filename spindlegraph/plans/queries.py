@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindlegraph.components import written
 from spindlegraph.functions import text
-from spindlegraph.operators import graph
+from spindlegraph.operators import graph, seeds
 from spindlegraph.sources import star
 
 NATION, TERM, QUESTION = "Nation:nation-3", "supplier#00000000", "which widget parts of brand does customer 12 order"
@@ -108,6 +108,10 @@ def semantic_seeds(spark, sf_dir):
     return rows.crossJoin(F.broadcast(asked)).select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where("score >= 0.25").orderBy(F.desc("score"), "vec_id").limit(5)
 
 
+def semantic_seeds_all(spark, sf_dir):
+    return seeds.every_seed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def redaction(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.select("conv_id", "turn", F.sha2(text.redacted(F.col("text")), 256).alias("content_hash"))
@@ -122,7 +126,7 @@ def slugs(spark, sf_dir):
     return star.nodes(spark, sf_dir).select("id", text.slug(F.col("label")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (provenance_union, filter_predicate_conf, filter_types, term_seeds, resolve_term, edge_projection, neighborhood_1hop, seed_distances, seed_expand_2hop, shortest_path, degree_top, predicate_counts, community_edges, invalidate_paths, diff_triples, token_idf, citations, citations_all, semantic_seeds, redaction, last_action_wins, slugs)}
+QUERIES = {f.__name__: f for f in (provenance_union, filter_predicate_conf, filter_types, term_seeds, resolve_term, edge_projection, neighborhood_1hop, seed_distances, seed_expand_2hop, shortest_path, degree_top, predicate_counts, community_edges, invalidate_paths, diff_triples, token_idf, citations, citations_all, semantic_seeds, semantic_seeds_all, redaction, last_action_wins, slugs)}
 
 _T = "with" + star.SQL
 _NAME = "case {} when 2 then 'EXTRACTED' when 1 then 'INFERRED' else 'AMBIGUOUS' end"

@@ -1,13 +1,14 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spindlegraph.components import connected_components
 from spindlegraph.functions import text
-from spindlegraph.operators import graph
+from spindlegraph.operators import graph, seeds
 from spindlegraph.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +56,27 @@ def test_every_triple_is_cited(spark):
     assert {tuple(r)[1:] for r in graph.cited(odd).collect()} == {("a", "p", "b", "INFERRED", 1, "f", None), ("c", "p", "d", "EXTRACTED", 0, None, None)}
 
 
+def test_every_vector_is_asked(spark, monkeypatch):
+    got = {}
+    for r in queries.QUERIES["semantic_seeds_all"](spark, SF).collect():
+        got.setdefault(r.asked, []).append((r.vec_id, r.score))
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    assert got.keys() == rows.keys() and len(got) > 1
+
+    def brute(x):
+        score = {i: round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 6) for i, y in rows.items()}
+        return sorted(((i, s) for i, s in score.items() if s >= 0.25), key=lambda p: (-p[1], p[0]))[:5]
+
+    for i, x in rows.items():
+        found = sorted(got[i], key=lambda p: (-p[1], p[0]))
+        assert [k for k, _ in found] == [k for k, _ in brute(x)] and np.allclose([s for _, s in found], [s for _, s in brute(x)], atol=2e-6)
+    assert sorted(got[0]) == sorted((r.vec_id, r.score) for r in queries.QUERIES["semantic_seeds"](spark, SF).collect())
+    monkeypatch.setattr(seeds, "BLOCK", 2)  # several tiles; ties, a zero vector, another length and a null
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (6, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    pairs = {(r.asked, r.vec_id, r.score) for r in seeds.every_seed(odd, 2).collect()}
+    assert pairs == {(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (4, 1, 1.0), (4, 2, 1.0), (6, 6, 1.0)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (None, 1), (3, 1)], "a long, b long")
     assert {r.id: r.component for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
