@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 STOPWORDS = ("the", "a", "an", "of", "to", "in", "is", "are", "and", "or", "for", "on", "what", "which", "who", "why", "how", "does")
 TIERS = ("AMBIGUOUS", "INFERRED", "EXTRACTED")
-SECRETS = ((r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"), r"\bAKIA[0-9A-Z]{16}\b", r"\bsk-[A-Za-z0-9_-]{10,}\b")
+SECRETS = ((r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----"), r"\bAKIA[0-9A-Z]{16}\b", r"\bsk-[A-Za-z0-9_-]{10,}\b")
 
 
 def nfkc(text: Column) -> Column:

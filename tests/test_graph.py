@@ -25,6 +25,12 @@ def test_ids_and_text(spark):
     assert row.r == "key [REDACTED] and [REDACTED]"
 
 
+def test_keys_with_digits_in_the_header_are_redacted(spark):
+    texts = ["a -----BEGIN ED25519 PRIVATE KEY-----\nx\n-----END ED25519 PRIVATE KEY----- b", "a -----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY----- b", "-----BEGIN X509 CERTIFICATE-----"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.t for r in df.select(text.redacted(F.col("t")).alias("t")).collect()] == ["a [REDACTED] b", "a [REDACTED] b", texts[2]]
+
+
 def test_paths_and_hops(spark):
     t = triples(spark, [("a", "p", "d"), ("a", "p", "b"), ("b", "p", "c"), ("c", "p", "d"), ("d", "q", "e")])
     assert [n for n, _ in graph.shortest_path(t, "a", "e")] == ["a", "d", "e"]
