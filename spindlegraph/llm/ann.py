@@ -2,10 +2,11 @@
 
 Vectors are dealt to shards by a hash of their id. A shard's graph grows in batches: a greedy search over the graph so far
 proposes neighbours for each new vector, and a candidate stays only if no neighbour kept before it is `relax` times nearer to
-the candidate than the vector is, so edges are few and point in different ways; edges back are pruned alike. Every vector is a
-query: a beam search of width `beam` asks each shard, and the answers of all shards are merged. Distances are exact; which
-neighbours are found is approximate. There are about sqrt(n / 2048) shards, so that searches, the vectors times the shards, grow with
-n ** 1.5; a shard of 10 ** 9 vectors in all holds some 1.4 million.
+the candidate than the vector is, so edges are few and point in different ways; edges back are pruned alike. All vectors are
+indexed; queries are those whose vec_id is divisible by `every`. A beam search of width `beam` asks each shard for each query,
+and the answers of all shards are merged. Distances are exact; which neighbours are found is approximate. There are about
+sqrt(n / 2048) shards, so a shard of 10 ** 9 vectors in all holds some 1.4 million. A graph goes through the shuffle once for
+each PART queries, and queries once for each shard; a task reads one graph and streams its queries.
 
 Rows without vec_id are left out, and vectors that are null, empty, of zero length or hold a null or anything not finite.
 Vectors are compared with those of as many numbers only. Of rows that repeat a vec_id the least vector counts. Equal vectors
@@ -16,6 +17,7 @@ neighbour. Columns besides vec_id and embedding are ignored. An empty table give
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +26,23 @@ from pyspark.sql import functions as F
 
 from spindlegraph.llm.shared import staged
 
-PER_ROW = 4096
+PER_ROW, PART = 4096, 2_000_000
+#: Places of a query's memory of points it has met; a point that another one displaced is looked at again.
+MET, BATCH = 8192, 1024
 
 
 def search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The beam of each query (points by distance, -1 where none), its distances, and the points it went through with theirs."""
+    """The beam of each query (points by distance, -1 where none), its distances, and the points it went through with theirs.
+
+    A point that left a beam is no nearer than the beam's last from then on, so only those in the beam must be told from new ones;
+    what a query has met lately is remembered to save distances."""
     n_q, width = len(queries), edges.shape[1] * step
     ids, dist = np.full((n_q, beam), -1, np.int32), np.full((n_q, beam), np.inf, np.float32)
     done = np.zeros((n_q, beam), bool)
     ids[:, 0], dist[:, 0] = start, 1 - queries @ x[start]
-    seen = np.full((n_q, len(x)), -1, np.int32)
-    seen[:, start] = 0
+    mask = min(MET, 1 << max(0, len(x) - 1).bit_length()) - 1
+    met = np.full((n_q, mask + 1), -1, np.int32)
+    met[:, start & mask] = start
     through: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     active = np.arange(n_q)
     while len(active):
@@ -53,15 +61,16 @@ def search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, be
         next_ = np.where(near[:, :, None] >= 0, edges[near], -1).reshape(len(active), width)
         r, c = np.nonzero(next_ >= 0)
         to, q = next_[r, c], active[r]
-        fresh = seen[q, to] < 0
+        fresh = met[q, to & mask] != to
         r, c, to, q = r[fresh], c[fresh], to[fresh], q[fresh]
-        stamp = np.arange(1, len(to) + 1, dtype=np.int32)
-        seen[q, to] = stamp
-        one = seen[q, to] == stamp
+        one = np.sort(np.unique(r.astype(np.int64) * len(x) + to, return_index=True)[1])
         r, c, to, q = r[one], c[one], to[one], q[one]
+        met[q, to & mask] = to
         d = 1 - np.einsum("ij,ij->i", x[to], queries[q])
         better = d < dist[q, -1]
-        r, c, to, d = r[better], c[better], to[better], d[better]
+        r, c, to, q, d = r[better], c[better], to[better], q[better], d[better]
+        new = (ids[q] != to[:, None]).all(1)
+        r, c, to, d = r[new], c[new], to[new], d[new]
         new_ids, new_dist = np.full((len(active), width), -1, np.int32), np.full((len(active), width), np.inf, np.float32)
         new_ids[r, c], new_dist[r, c] = to, d
         all_ids, all_dist = np.concatenate([ids[active], new_ids], 1), np.concatenate([dist[active], new_dist], 1)
@@ -106,7 +115,7 @@ def graph(x: np.ndarray, degree: int = 32, beam: int = 64, relax: float = 1.2) -
     while at < len(order):
         batch = order[at : at + size]
         at, size = at + size, min(2 * size, max(1, n // 40), 2048)
-        for some in np.array_split(batch, math.ceil(len(batch) * n / 20_000_000)):
+        for some in np.array_split(batch, math.ceil(len(batch) / BATCH)):
             ids, dist, past, past_dist = search(x, edges, start, x[some], beam)
             fresh = np.where(np.isin(ids, past) & (ids[:, :, None] == past[:, None, :]).any(2), -1, ids) if past.size else ids
             edges[some] = pruned(x, np.concatenate([past, fresh], 1), np.concatenate([past_dist, np.where(fresh >= 0, dist, np.inf)], 1), degree, relax)
@@ -128,18 +137,23 @@ def graph(x: np.ndarray, degree: int = 32, beam: int = 64, relax: float = 1.2) -
     return edges, start
 
 
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(v.as_py() for v in column), kind)
-
-
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float64)
     v /= np.abs(v).max(1, keepdims=True)
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+KIND = "dims int, shard int, asks boolean, ids binary, vectors binary, edges binary, many binary, start int"
+PACKED = pa.schema([("dims", pa.int32()), ("shard", pa.int32()), ("asks", pa.bool_()), ("ids", pa.binary()), ("vectors", pa.binary()), ("edges", pa.binary()), ("many", pa.binary()), ("start", pa.int32())])
+ANSWERS = pa.schema([("vec_id", pa.int64()), ("found", pa.list_(pa.struct([("distance", pa.float64()), ("neighbour_id", pa.int64())])))])
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)], schema=PACKED)
+
+
 def _build(degree: int, beam: int, relax: float):
-    """A shard's vectors, for queries, and its points with their edges, both some at a time."""
+    """A shard's points with their edges, some at a time."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
@@ -151,41 +165,56 @@ def _build(degree: int, beam: int, relax: float):
         by = np.argsort(point, kind="stable")
         many = np.bincount(point)
         ends = np.cumsum(many)
-        rows = [(dims, shard, False, ids[a : a + PER_ROW].tobytes(), x[a : a + PER_ROW].tobytes(), b"", b"", start) for a in range(0, len(ids), PER_ROW)]
+        rows = []
         for a in range(0, len(first), PER_ROW):
             b = min(a + PER_ROW, len(first))
-            rows.append((dims, shard, True, ids[by[ends[a] - many[a] : ends[b - 1]]].tobytes(), x[first[a:b]].tobytes(), edges[a:b].tobytes(), many[a:b].astype(np.int32).tobytes(), start))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)], schema=PACKED)
+            rows.append((dims, shard, False, ids[by[ends[a] - many[a] : ends[b - 1]]].tobytes(), x[first[a:b]].tobytes(), edges[a:b].tobytes(), many[a:b].astype(np.int32).tobytes(), start))
+        return pa.Table.from_batches([_table(rows)])
 
     return run
 
 
-PACKED = pa.schema([("dims", pa.int32()), ("shard", pa.int32()), ("is_graph", pa.bool_()), ("ids", pa.binary()), ("vectors", pa.binary()), ("edges", pa.binary()), ("many", pa.binary()), ("start", pa.int32())])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries of one number of dimensions, some at a time."""
+    for batch in batches:
+        dims, ids = np.asarray(batch.column(1)), np.asarray(batch.column(0))
+        rows = []
+        for n in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == n)
+            x = _unit(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n))
+            rows += [(n, 0, True, ids[at[a : a + PER_ROW]].tobytes(), x[a : a + PER_ROW].tobytes(), b"", b"", 0) for a in range(0, len(at), PER_ROW)]
+        yield _table(rows)
 
-ANSWERS = pa.schema([("vec_id", pa.int64()), ("found", pa.list_(pa.struct([("distance", pa.float64()), ("neighbour_id", pa.int64())])))])
 
+class Shard:
+    """A graph that is read row by row, and then asked."""
 
-def _ask(k: int, degree: int, beam: int):
-    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
-        if not queries.num_rows or not points.num_rows:  # vectors of this length are in one of the two shards only
-            return ANSWERS.empty_table()
-        points = points.rename_columns([c.removeprefix("p_") for c in points.column_names])
-        dims = points["dims"][0].as_py()
-        x, edges = _joined(points["vectors"], np.float32).reshape(-1, dims), _joined(points["edges"], np.int32).reshape(-1, degree)
-        many, owner = _joined(points["many"], np.int32), _joined(points["ids"], np.int64)
+    def __init__(self, dims: int, degree: int):
+        self.dims, self.degree, self.rows = dims, degree, []
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+
+    def ready(self) -> bool:
+        if self.rows:
+            join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in self.rows), kind)
+            self.x, self.edges = join("vectors", np.float32).reshape(-1, self.dims), join("edges", np.int32).reshape(-1, self.degree)
+            self.many, self.owner, self.start = join("many", np.int32), join("ids", np.int64), self.rows[0]["start"]
+            self.rows = []
+        return hasattr(self, "x")
+
+    def answers(self, asked: np.ndarray, v: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
         # k + 1 ids of a point are enough: they are in order, and one of them may be the query
-        begin, held = np.cumsum(many) - many, np.minimum(many, k + 1)
-        start = points["start"][0].as_py()
-        asked, v = _joined(queries["ids"], np.int64), _joined(queries["vectors"], np.float32).reshape(-1, dims)
+        begin, held = np.cumsum(self.many, dtype=np.int64) - self.many, np.minimum(self.many, k + 1)
         out = []
-        for some in np.array_split(np.arange(len(asked)), max(1, math.ceil(len(asked) * max(len(x), 20_000) / 20_000_000))):
-            ids = search(x, edges, start, v[some], beam)[0][:, : k + 1]
+        for some in np.array_split(np.arange(len(asked)), max(1, math.ceil(len(asked) / BATCH))):
+            ids = search(self.x, self.edges, self.start, v[some], beam)[0][:, : k + 1]
             r, c = np.nonzero(ids >= 0)
             point = ids[r, c]
-            d = np.round(1 - np.einsum("ij,ij->i", x[point].astype(np.float64), v[some[r]].astype(np.float64)), 6) + 0.0
+            d = np.round(1 - np.einsum("ij,ij->i", self.x[point].astype(np.float64), v[some[r]].astype(np.float64)), 6) + 0.0
             each = np.repeat(np.arange(len(r)), held[point])
             nth = np.arange(len(each)) - np.repeat(np.cumsum(held[point]) - held[point], held[point])
-            to, r, d = owner[begin[point[each]] + nth], some[r[each]], d[each]
+            to, r, d = self.owner[begin[point[each]] + nth], some[r[each]], d[each]
             ok = to != asked[r]
             to, r, d = to[ok], r[ok], d[ok]
             by = np.lexsort((to, d, r))
@@ -196,25 +225,43 @@ def _ask(k: int, degree: int, beam: int):
         ends = np.flatnonzero(np.concatenate([a[1:] != a[:-1], [True]])) + 1 if len(a) else np.zeros(0, np.int64)
         offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
         found = pa.StructArray.from_arrays([pa.array(d), pa.array(b)], ["distance", "neighbour_id"])
-        return pa.table({"vec_id": a[ends - 1], "found": pa.ListArray.from_arrays(offsets, found)})
+        return pa.RecordBatch.from_arrays([pa.array(a[ends - 1]), pa.ListArray.from_arrays(offsets, found)], schema=ANSWERS)
+
+
+def _ask(k: int, degree: int, beam: int):
+    """Rows come by part and shard, a shard's graph before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("dims", "shard", "part", "asks", "ids", "vectors", "edges", "many", "start")}
+                if (row["dims"], row["part"], row["shard"]) != key:
+                    key, shard = (row["dims"], row["part"], row["shard"]), Shard(row["dims"], degree)
+                if not row["asks"]:
+                    shard.add(row)
+                elif shard.ready():  # else no vector of this length is in the shard
+                    yield shard.answers(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dims"]), k, beam)
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 10, degree: int = 32, beam: int = 64, relax: float = 1.2) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest of every vector, rank from 1."""
+def neighbours(vectors: DataFrame, k: int = 10, degree: int = 32, beam: int = 64, relax: float = 1.2, every: int = 50) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest of all vectors to each whose vec_id is divisible by every, rank from 1."""
     e = F.col("embedding").cast("array<float>")
     length = F.aggregate(e, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
     rows = rows.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & length.isNotNull() & ~F.isnan(length) & (length > 0) & (length < float("inf")))
     rows = staged(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dims", F.size("embedding")))
-    shards = max(1, math.ceil(math.sqrt(rows.count() / 2048)))
+    n, n_asked = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    shards, parts = max(1, math.ceil(math.sqrt(n / 2048))), max(1, math.ceil(n_asked / PART))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    made = staged(dealt.groupBy("dims", "shard").applyInArrow(_build(degree, beam, relax), "dims int, shard int, is_graph boolean, ids binary, vectors binary, edges binary, many binary, start int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = made.where("not is_graph").select("dims", F.col("shard").alias("of"), "ids", "vectors", every.alias("to"))
-    points = made.where("is_graph").select("dims", every.alias("of"), "ids", "vectors", "edges", "many", "start", F.col("shard").alias("to"))
-    points = points.toDF(*(f"p_{c}" for c in points.columns))  # names of their own: both sides come from one table
-    answers = asked.groupBy("dims", "of", "to").cogroup(points.groupBy("p_dims", "p_of", "p_to")).applyInArrow(_ask(k, degree, beam), "vec_id long, found array<struct<distance: double, neighbour_id: long>>")
+    made = staged(dealt.groupBy("dims", "shard").applyInArrow(_build(degree, beam, relax), KIND))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "dims", "embedding").mapInArrow(_packed, KIND)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn("shard", each(shards))
+    both = made.withColumn("part", each(parts)).unionByName(asked)
+    tasks = both.repartition(shards * parts, "part", "shard").sortWithinPartitions("dims", "part", "shard", "asks")
+    answers = tasks.mapInArrow(_ask(k, degree, beam), "vec_id long, found array<struct<distance: double, neighbour_id: long>>")
     best = answers.groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
     return best.select("vec_id", F.posexplode("found").alias("nth", "f")).select("vec_id", (F.col("nth") + 1).cast("int").alias("rank"), F.col("f.neighbour_id").alias("neighbour_id"), F.col("f.distance").alias("distance"))
