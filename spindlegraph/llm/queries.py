@@ -19,7 +19,7 @@ def op3_license_scan(spark, sf_dir):
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark, sf_dir):
@@ -47,4 +47,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_license_scan, op4_ngram_jaccard_join, op5_quality_rules, op6_nearest_neighbours, op7_hilbert_shards, op8_packing, op9_substring_dedup, op10_toxicity)}
-SQL = {"op2_url_filter": url_filter.VERDICTS_SQL, "op4_ngram_jaccard_join": jaccard_join.PAIRS_SQL, "op5_quality_rules": quality.PASSING_SQL, "op7_hilbert_shards": hilbert.SHARDS_SQL, "op9_substring_dedup": substring_dedup.PASSAGES_SQL}
+SQL = {"op2_url_filter": url_filter.VERDICTS_SQL, "op4_ngram_jaccard_join": jaccard_join.CLASSES_SQL, "op5_quality_rules": quality.PASSING_SQL, "op7_hilbert_shards": hilbert.SHARDS_SQL, "op9_substring_dedup": substring_dedup.PASSAGES_SQL}
