@@ -1,15 +1,19 @@
 """Sharding along a Hilbert curve, for shards that readers can skip by any of several metadata columns.
 
-Each column is quantised to 2 ** bits steps: numbers by octaves and their quarters, other values by the share of rows before
-theirs, in order of value, so that common values are wide apart. The steps are a cell of a cube; cells are ordered along the
-Hilbert curve, which always moves to a neighbouring cell. Cells, of which there are 2 ** (bits * columns) at most however many
-rows there are, get a place on a line by the size of what comes before; within a cell, rows are spread by a hash of doc_id. The
-line is cut into runs of `shard_chars` characters, so a shard is a range of the curve, and a cell that is too large for one
-shard is divided. Rows are neither sorted nor collected to find their shard.
+Each column is quantised to 2 ** bits steps: numbers by octaves and their quarters, which for 8 bits reach to the end of the
+integers, other values by the share of rows before theirs, in order of value, so that common values are wide apart. The steps
+are a cell of a cube; cells are ordered along the Hilbert curve, which always moves to a neighbouring cell. Cells get a place
+on a line by the size of what comes before; within a cell, rows are spread by a hash of doc_id. The line is cut into runs of
+`shard_chars` characters, so a shard is a range of the curve, and a cell that is too large for one shard is divided. Rows are
+neither sorted nor collected to find their shard; values and cells are summed by ranges in parallel.
+
+Shards of one divided cell have the same ranges of all columns, a quarter of an octave of numbers, and can't be told apart by
+these; others can.
 
 A null number counts as 0, a negative one too, and a null value is a value of its own, the first. Rows without n_chars have the
 size 1, as do empty ones. Rows that repeat a doc_id have their own places; without doc_id they are spread as one. Columns besides those named
-are carried along by written_shards() and otherwise ignored. An empty table gives no rows.
+are carried along by written_shards() and otherwise ignored; the column it adds is `shard`, with underscores after it where docs
+has one of that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindlegraph.components import sums_before
 from spindlegraph.llm.shared import staged
 
 
@@ -80,14 +85,13 @@ def _place(n: int, bits: int):
     return run
 
 
-def placed(docs: DataFrame, values: Sequence[str] = ("lang", "source"), numbers: Sequence[str] = ("n_chars",), bits: int = 6, size: str = "n_chars", shard_chars: int = 1 << 27) -> DataFrame:
+def placed(docs: DataFrame, values: Sequence[str] = ("lang", "source"), numbers: Sequence[str] = ("n_chars",), bits: int = 8, size: str = "n_chars", shard_chars: int = 1 << 27) -> DataFrame:
     """docs with the columns __hilbert and __shard."""
     steps: list[str] = []
-    rows = docs
+    rows, total = docs, max(1, docs.count())
     for i, c in enumerate(values):
         counts = docs.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        codes = counts.withColumn("__b", before).withColumn("__all", F.sum("__n").over(Window.partitionBy())).select(F.col("__v").alias(f"__v{i}"), F.floor(F.col("__b") * F.lit(1 << bits) / F.col("__all")).cast("int").alias(f"__s{i}"))
+        codes = sums_before(counts, ["__v"], "__n", "__start").select(F.col("__v").alias(f"__v{i}"), F.floor(F.col("__start") * F.lit(1 << bits) / F.lit(total)).cast("int").alias(f"__s{i}"))
         rows = rows.join(staged(codes), F.col(c).eqNullSafe(F.col(f"__v{i}"))).drop(f"__v{i}")
         steps.append(f"__s{i}")
     for i, c in enumerate(numbers):
@@ -97,8 +101,7 @@ def placed(docs: DataFrame, values: Sequence[str] = ("lang", "source"), numbers:
     cells = staged(rows.groupBy(*steps).agg(F.sum(length).alias("__size")))
     kinds = ", ".join([*(f"{s} int" for s in steps), "__size long", "hilbert long"])
     line = cells.mapInArrow(_place(len(steps), bits), kinds)
-    line = line.withColumn("__start", F.coalesce(F.sum("__size").over(Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    line = staged(line).withColumnRenamed("hilbert", "__hilbert")
+    line = staged(sums_before(line, ["hilbert"], "__size", "__start")).withColumnRenamed("hilbert", "__hilbert")
     for s in steps:
         line = line.withColumnRenamed(s, "c" + s)
     on = [F.col(s) == F.col("c" + s) for s in steps]
@@ -112,13 +115,16 @@ def shards(docs: DataFrame, **options) -> DataFrame:
     return placed(docs, **options).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__hilbert").alias("hilbert"), F.col("__shard").alias("shard"))
 
 
-def written_shards(docs: DataFrame, path: str, **options) -> None:
-    """docs as Parquet in a folder for each shard, each file in order of the curve, for its row groups to be narrow too."""
-    rows = placed(docs, **options)
-    rows.repartition("__shard").sortWithinPartitions("__shard", "__hilbert").withColumnRenamed("__shard", "shard").drop("__hilbert").write.partitionBy("shard").parquet(path)
+def written_shards(docs: DataFrame, path: str, **options) -> str:
+    """docs as Parquet in a folder for each shard, each file in order of the curve, for its row groups to be narrow too; the name of the column of shards."""
+    rows, name = placed(docs, **options), "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    rows.repartition("__shard").sortWithinPartitions("__shard", "__hilbert").withColumnRenamed("__shard", name).drop("__hilbert").write.partitionBy(name).parquet(path)
+    return name
 
 
-def _sql(bits: int = 6, shard_chars: int = 1 << 27) -> str:
+def _sql(bits: int = 8, shard_chars: int = 1 << 27) -> str:
     ends = ", ".join(map(str, quarters(bits)))
     ctes = ["d as (select doc_id, lang, source, greatest(0, coalesce(n_chars, 0)) as n, greatest(1, coalesce(n_chars, 1)) as size from documents)"]
     for i, c in enumerate(("lang", "source")):
