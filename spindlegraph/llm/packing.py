@@ -3,7 +3,8 @@
 Documents of more words are cut: pieces of capacity words are windows of their own, what is left is packed with the rest.
 Buckets of pieces are packed apart. In each, as many partial partitions as pieces are merged, two of the greatest imbalance
 at a time, the fullest window of one with the emptiest of the other, so that windows come out nearly equal. There are as many
-windows as the words need at least; while one exceeds the capacity, there is one more and all is done again.
+windows as the words need at least, and as the pieces need of which no j + 1 fit in a window; while one exceeds the capacity,
+there are as many more as what is over would fill, one at least, and all is done again.
 
 Words are runs without ASCII white space. Nulls count as empty texts; documents without words have no piece. Rows that repeat
 a doc_id are packed each, also rows without doc_id. Columns besides doc_id and text are ignored. An empty table gives no rows.
@@ -64,14 +65,23 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return where[1 : n + 1]
 
 
+def fewest(sizes: np.ndarray, capacity: int) -> int:
+    """Windows that any packing needs: by the sum, and for j = 1, 2, ... by the pieces of which a window holds no more than j."""
+    order = np.sort(sizes)
+    j = np.arange(1, 33)
+    large = len(order) - np.searchsorted(order, capacity // (j + 1), side="right")
+    return max(1, math.ceil(sizes.sum() / capacity), int(np.ceil(large / j).max()))
+
+
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each size, none of which is over the capacity; the fewest windows for which differencing stays within it."""
-    k = max(1, math.ceil(sizes.sum() / capacity))
+    """The window of each size, none of which is over the capacity."""
+    k = fewest(sizes, capacity)
     while True:
         at = differencing(sizes, k)
-        if len(at) == 0 or np.bincount(at, sizes).max() <= capacity:
+        over = np.maximum(np.bincount(at, sizes) - capacity, 0).sum() if len(at) else 0
+        if not over:
             return at
-        k += 1
+        k = min(len(sizes), k + max(1, math.ceil(over / capacity)))
 
 
 def _pack(capacity: int):
