@@ -27,14 +27,22 @@ from spindlegraph.llm.words import U, mix
 
 BUCKET, FAN_IN = 20_000, 64
 SCHEMA = "doc_id long, source string, size long, whole long, p double, bucket long, open boolean"
-EDGE = 1e-9
+EDGE, ALL = 1e-9, (1 << 64) - 1
+
+
+def mixed_int(x: int) -> int:
+    """mix() of one integer."""
+    x &= ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & ALL
+    return x ^ (x >> 31)
 
 
 def pivot(ids: np.ndarray, p: np.ndarray, groups: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities rounded one after another within each run of equal groups, and whether each is left open (one a group at most)."""
     p, n = p.astype(float).copy(), len(p)
-    h = mix(ids.astype(np.int64).view(np.uint64) + U(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
-    draw = lambda a, b: float(mix(h[a : a + 1] * U(3) + h[b : b + 1])[0]) / 2.0**64
+    h = mix(ids.astype(np.int64).view(np.uint64) + U(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))).tolist()
+    draw = lambda a, b: mixed_int(h[a] * 3 + h[b]) / 2.0**64
     value, group, left = p.tolist(), groups.tolist(), -1
     for i in range(n):
         if left >= 0 and group[left] != group[i]:
