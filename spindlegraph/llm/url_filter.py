@@ -3,8 +3,11 @@
 A rule is a pattern over the lower-case URL: `*` is anything, `^` a separator or the end, `|` at either end anchors there, `||` at
 the start anchors at a label of the host, `@@` before all makes an exception, and a pattern between two slashes is a regular
 expression. Every literal token (a run of letters and digits that the pattern doesn't let go on) must be in a URL that matches,
-so each rule is filed under the one that the fewest URLs have. Rules without such a token run on every URL. URLs that repeat are
-matched once. A page is allowed if an exception matches, else blocked if a rule matches, else it has no verdict.
+so each rule is filed under the one that the fewest URLs have; the frequencies of the rules' tokens are counted over all URLs.
+The index, bounded by the rules that the caller holds, goes to the tasks; there a URL's tokens fetch candidate rules, and only
+those, and the rules without such a token, run their regular expressions, each compiled once. So nothing but URLs is shuffled,
+and a token that all URLs have makes no hot key. URLs that repeat are matched once. A page is allowed if an exception matches,
+else blocked if a rule matches, else it has no verdict.
 
 Null and empty URLs have no verdict. Each row gets a row, so repeated rows and rows without page_id are answered each. Columns
 besides page_id and url are ignored. An empty table gives no rows; without rules no page has a verdict.
@@ -13,8 +16,10 @@ besides page_id and url are ignored. An empty table gives no rows; without rules
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,23 +56,58 @@ def compiled(rule: str) -> tuple[bool, str, list[str]]:
     return allow, head + regex + tail, list(dict.fromkeys(tokens))
 
 
+TOKEN = re.compile("[a-z0-9]+")
+
+
+def _often(wanted: frozenset[str]):
+    """How many URLs have each wanted token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for low in batch.column("low").to_pylist():
+                n.update(wanted.intersection(TOKEN.findall(low)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
+
+    return run
+
+
+def _match(rules: list[tuple[int, bool, str]], index: dict[str, list[int]], loose: list[int]):
+    """rules: rule_id, allow, regex; index and loose: places in rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [(i, allow, re.compile(regex).search) for i, allow, regex in rules]
+        tokens = index.keys()
+        for batch in batches:
+            rows = []
+            for url, low in zip(batch.column("url").to_pylist(), batch.column("low").to_pylist()):
+                fetched = [r for t in tokens & set(TOKEN.findall(low)) for r in index[t]]
+                rows += [(url, i, allow) for i, allow, search in (made[r] for r in fetched + loose) if search(low)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))], names=["url", "rule_id", "allow"])
+
+    return run
+
+
+def filed(parsed: Sequence[tuple[int, bool, str, list[str]]], often: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
+    """Places in parsed by the rarest token of each (of equal ones the longest, then the first), and those without a token. A token that no URL has leaves its rule without candidates."""
+    index: dict[str, list[int]] = {}
+    loose = []
+    for at, (_, _, _, tokens) in enumerate(parsed):
+        if tokens:
+            index.setdefault(min(tokens, key=lambda t: (often.get(t, 0), -len(t), t)), []).append(at)
+        else:
+            loose.append(at)
+    return index, loose
+
+
 def matching(urls: DataFrame, rules: Sequence[str]) -> DataFrame:
     """(url, rule_id, allow) of every rule that matches a URL; urls: distinct, in a column url. rule_id is the place in rules, from 0."""
-    spark = urls.sparkSession
     parsed = [(i, *compiled(r)) for i, r in enumerate(rules)]
-    kinds = "rule_id int, allow boolean, regex string"
-    filed = spark.createDataFrame([(i, a, x, t) for i, a, x, t in parsed if t], kinds + ", tokens array<string>")
-    loose = spark.createDataFrame([(i, a, x) for i, a, x, t in parsed if not t], kinds)
     low = urls.select("url", F.lower("url").alias("low"))
-    tokens = low.select("url", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    literal = filed.select("rule_id", F.explode("tokens").alias("token"))
-    often = tokens.select("token").join(literal.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
-    # a token that no URL has leaves its rule without candidates
-    rarest = staged(literal.join(often, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), "token"))["token"].alias("token")))
-    index = rarest.join(filed.drop("tokens"), "rule_id")
-    fetched = tokens.join(index, "token").where("rlike(low, regex)")
-    everywhere = low.crossJoin(loose).where("rlike(low, regex)")
-    return fetched.select("url", "rule_id", "allow").union(everywhere.select("url", "rule_id", "allow"))
+    wanted = frozenset(t for r in parsed for t in r[3])
+    often = dict(low.select("low").mapInArrow(_often(wanted), "token string, n long").groupBy("token").agg(F.sum("n")).collect()) if wanted else {}  # as many rows as the rules have tokens
+    index, loose = filed(parsed, often)
+    return low.mapInArrow(_match([r[:3] for r in parsed], index, loose), "url string, rule_id int, allow boolean")
 
 
 def filtered(pages: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
