@@ -34,13 +34,13 @@ def odd(spark):
 @pytest.mark.parametrize("name", ["op1_mix_sources", "op3_license_scan", "op4_ngram_jaccard_join", "op5_quality_rules", "op7_hilbert_shards", "op8_packing", "op9_substring_dedup", "op10_toxicity"])
 def test_odd_and_empty_tables(spark, name):
     labels = spark.createDataFrame([(4, 0, 1), (None, 1, 1), (5, None, None), (5, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
-    f = {"op1_mix_sources": mixing.copies, "op3_license_scan": license_scan.licenses, "op4_ngram_jaccard_join": jaccard_join.jaccard_pairs, "op5_quality_rules": quality.passing, "op7_hilbert_shards": hilbert.shards, "op8_packing": packing.packed, "op9_substring_dedup": substring_dedup.repeated_passages, "op10_toxicity": lambda d: toxicity.toxic_documents(d, labels)}[name]
+    f = {"op1_mix_sources": mixing.copies, "op3_license_scan": license_scan.licenses, "op4_ngram_jaccard_join": jaccard_join.jaccard_classes, "op5_quality_rules": quality.passing, "op7_hilbert_shards": hilbert.shards, "op8_packing": packing.packed, "op9_substring_dedup": substring_dedup.repeated_passages, "op10_toxicity": lambda d: toxicity.toxic_documents(d, labels)}[name]
     rows = f(odd(spark)).collect()
     assert f(odd(spark).limit(0)).collect() == []
     want = {
         "op1_mix_sources": lambda: {r.doc_id for r in rows} == set(range(1, 9)),
         "op3_license_scan": lambda: rows == [],
-        "op4_ngram_jaccard_join": lambda: [tuple(r) for r in rows] == [(5, 6, 1.0)],
+        "op4_ngram_jaccard_join": lambda: sorted(tuple(r) for r in rows) == [(5, 5, 1, 0, 1.0), (6, 5, 1, 0, 1.0)],
         "op5_quality_rules": lambda: {r.doc_id for r in rows} >= {5, 6} and not {r.doc_id for r in rows} & {1, 2, 3, 8},
         "op7_hilbert_shards": lambda: len(rows) == 11,
         "op8_packing": lambda: sum(r.n_words for r in rows if r.doc_id == 4) == 400_000 and not {1, 2, 3} & {r.doc_id for r in rows},
@@ -75,6 +75,56 @@ def test_mixing_keeps_expectations(spark):
     assert all(abs(mixing.pivot(ids, p, np.zeros(9), seed)[0].sum() - 2.7) < 1e-9 for seed in range(50))
 
 
+def test_mixing_is_brute_force(spark):
+    """The same draws, step by step in plain integers, over one bucket: by source, then over what is left of the sources."""
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        x &= mask
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def paired(rows, seed):
+        """Two open ones at a time; one of the two becomes 0 or 1."""
+        open_, done = None, {}
+        for i, p in rows:
+            if not 1e-9 <= p <= 1 - 1e-9:
+                done[i] = round(p)
+            elif open_ is None:
+                open_ = (i, p)
+            else:
+                (j, a), b = open_, p
+                key = lambda k: spread(k + 0x9E3779B97F4A7C15 * (seed + 1))
+                u = spread(key(j) * 3 + key(i)) / 2**64
+                s = a + b
+                first = u * s < a if s < 1 else u * (2 - s) < 1 - b
+                a, b = ((s, 0.0) if first else (0.0, s)) if s < 1 else ((1.0, s - 1) if first else (s - 1, 1.0))
+                left = [(k, v) for k, v in ((j, a), (i, b)) if 1e-9 <= v <= 1 - 1e-9]
+                done |= {k: round(v) for k, v in ((j, a), (i, b)) if not 1e-9 <= v <= 1 - 1e-9}
+                open_ = left[0] if left else None
+        return done, open_
+
+    lengths = [50 + 7 * i % 400 for i in range(300)]
+    weights = {"s0": 5.0, "s1": 1.0, "s2": 2.0}
+    for seed in (3, 17):
+        got = {r.doc_id: (r.expected, r.copies) for r in mixing.copies(docs(spark, ["x" * n for n in lengths]), weights, seed=seed).collect()}
+        expected = {s: w / 8 * sum(lengths) / sum(lengths[int(s[1]) :: 3]) for s, w in weights.items()}
+        want, rest = {}, []
+        for s in weights:
+            part = sorted((lengths[i], i) for i in range(int(s[1]), 300, 3))
+            whole = int(expected[s] + 1e-9)
+            done, left = paired([(i, expected[s] - whole) for _, i in part], seed)
+            want |= {i: whole + v for i, v in done.items()}
+            rest += [(left[0], left[1], whole)] if left else []
+        rest.sort(key=lambda r: (f"s{r[0] % 3}", lengths[r[0]], r[0]))
+        done, left = paired([(i, p) for i, p, _ in rest], seed + 99)
+        for i, _, whole in rest:
+            v = done[i] if i in done else int(spread(i + seed + 99) / 2**64 < left[1])
+            want[i] = whole + v
+        assert {i: c for i, (_, c) in got.items()} == want and all(abs(e - expected[f"s{i % 3}"]) < 1e-8 for i, (e, _) in got.items())
+
+
 def test_mixing_tree(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 20)
     rows = mixing.copies(docs(spark, ["x" * (50 + 7 * i % 400) for i in range(2000)])).collect()
@@ -96,40 +146,115 @@ def test_url_filter_is_brute_force(spark):
 
     got = sorted(map(str, ((r.page_id, r.verdict, r.rule_id, r.n_rules) for r in url_filter.filtered(all_pages).collect())))
     assert got == sorted(map(str, ((r.page_id, *brute(r.url)) for r in all_pages.collect())))
+    hosts = {"http://ads.x.com/a": True, "http://a.ads.x.com": True, "http://badads.x.com/": False, "http://x.com/ads.y": False, "https://u@h/ads.": False}
+    ads = re.compile(url_filter.compiled("||ads.*^")[1])
+    assert {u: bool(ads.search(u)) for u in hosts} == hosts
+    for rule, yes, no in (("|ftp://", "ftp://a", "http://ftp://"), (".exe|", "http://a/b.exe", "http://a/b.exe?x"), ("/login^", "http://a/login?x", "http://a/loginx"), ("/tag/*/page/", "http://a/tag/b/page/2", "http://a/tag/page"), ("?page=2&ref=", "http://a?page=2&ref=b", "http://a?page=2ref=")):
+        found = re.compile(url_filter.compiled(rule)[1])
+        assert found.search(yes) and not found.search(no), rule
+    parsed = [(i, *url_filter.compiled(r)) for i, r in enumerate(["/a1/b2/", "*c3*", "/b2/longer/"])]
+    assert url_filter.filed(parsed, {"a1": 5, "b2": 2, "longer": 2}) == ({"b2": [0], "longer": [2]}, [1])
     assert url_filter.compiled("||ads.*^")[2] == ["ads"] and url_filter.compiled("ads*")[2] == []
     assert {r.verdict for r in url_filter.filtered(more, []).collect()} == {"none"}
     assert url_filter.filtered(more.limit(0)).count() == 0
 
 
+def slow_alignment(a, b, i=0, j=0):
+    """Patience alignment as its definition goes, on its own: unique common words, a longest rising run by length alone, gaps in turn."""
+    unique = [(p, b.index(x)) for p, x in enumerate(a) if a.count(x) == b.count(x) == 1]
+    if not unique:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for p in reversed(range(len(a))):
+            for q in reversed(range(len(b))):
+                best[p][q] = best[p + 1][q + 1] + 1 if a[p] == b[q] else max(best[p + 1][q], best[p][q + 1])
+        out, p, q = [], 0, 0
+        while p < len(a) and q < len(b):
+            if a[p] == b[q]:
+                out.append((i + p, j + q))
+                p, q = p + 1, q + 1
+            elif best[p + 1][q] >= best[p][q + 1]:
+                p += 1
+            else:
+                q += 1
+        return out
+    length = []
+    for k, (_, q) in enumerate(unique):
+        length.append(1 + max((length[m] for m in range(k) if unique[m][1] < q), default=0))
+    run, k = [], max(k for k in range(len(unique)) if length[k] == max(length))
+    while True:
+        run.append(unique[k])
+        before = [m for m in range(k) if length[m] == length[k] - 1]
+        if not before:
+            break
+        k = before[-1]  # the last of them has the least place, which is less
+    ends = [(-1, -1), *run[::-1], (len(a), len(b))]
+    out = [(i + p, j + q) for p, q in run]
+    for (p, q), (r, s) in zip(ends, ends[1:]):
+        if r > p + 1 and s > q + 1:
+            out += slow_alignment(a[p + 1 : r], b[q + 1 : s], i + p + 1, j + q + 1)
+    return sorted(out)
+
+
 def test_patience_alignment():
     rng = random.Random(3)
-    for _ in range(200):
-        a, b = ([rng.randrange(12) for _ in range(rng.randrange(25))] for _ in range(2))
+    for _ in range(400):
+        kinds = rng.choice([4, 12, 60])
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(25))] for _ in range(2))
         pairs = license_scan.aligned(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert pairs == slow_alignment(a, b)
     assert license_scan.aligned([1, 2, 3, 9, 4], [1, 3, 2, 4]) in ([(0, 0), (1, 2), (4, 3)], [(0, 0), (2, 1), (4, 3)])
     assert len(license_scan.aligned([5, 5, 1, 5], [5, 5, 1, 5])) == 4
 
 
 def test_licenses_are_brute_force(spark):
-    notice = license_scan.TEMPLATES["apache-2.0-header"]
+    notice = license_scan.plain(license_scan.TEMPLATES["apache-2.0-header"])
     words = notice.split()
     rng = random.Random(5)
     texts = [notice, notice + " " + notice, "lorem ipsum " * 40 + " ".join(w for i, w in enumerate(words) if i % 9), " ".join(words[::-1]), "Released under the MIT License.", "the license is under a released mit", " ".join(rng.choice(words) for _ in range(3000)), "nothing here"]
     got = {(r.doc_id, r.license): (r.coverage, r.start_word, r.end_word) for r in license_scan.licenses(docs(spark, texts)).collect()}
+    simple = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
     want = {}
     for i, t in enumerate(texts):
-        a = re.sub("[^a-z0-9]+", " ", t.lower()).split()
-        for name, template in license_scan.TEMPLATES.items():
-            b = re.sub("[^a-z0-9]+", " ", template.lower()).split()
-            best = (0, 0, 0)
+        a, spans = simple(t), set()
+        for name, marked in license_scan.TEMPLATES.items():
+            text, _, without = marked.partition(" -- ")
+            b = simple(text.replace("*", ""))
+            keys = {k for k, m in enumerate(re.findall("[*]?[a-z0-9]+", text.lower())) if m[0] == "*"}
             for at in range(0, len(a), len(b)):
-                pairs = license_scan.aligned(a[at : at + 3 * len(b)], b)
-                if pairs and len(pairs) / len(b) > best[0]:
-                    best = len(pairs) / len(b), at + pairs[0][0], at + pairs[-1][0] + 1
-            if best[0] >= 0.8:
-                want[i, name] = (round(best[0], 6), *best[1:])
-    assert got == want and (0, "apache-2.0-header") in got and (2, "apache-2.0-header") in got and (3, "apache-2.0-header") not in got
+                pairs = slow_alignment(a[at : at + 3 * len(b)], b)
+                # the most pairs within the limit, of equal ones the first
+                runs = [pairs[x:y] for x in range(len(pairs)) for y in range(x + 1, len(pairs) + 1) if pairs[y - 1][0] - pairs[x][0] < len(b) + max(4, len(b) // 4)]
+                kept = max(runs, key=len, default=[])
+                if kept and len(kept) / len(b) >= 0.8 and keys <= {q for _, q in kept}:
+                    x, y = at + kept[0][0], at + kept[-1][0] + 1
+                    if not set(a[x:y]) & set(simple(without)):
+                        spans.add((x, y, len(kept), len(b), name))
+        taken = []
+        for x, y, n, size, name in sorted(spans, key=lambda s: (s[1] - s[0] - 2 * s[2], -s[2] / s[3], s[0], s[1], s[4])):
+            if all(y <= c or d <= x or name == other for c, d, other in taken):
+                taken.append((x, y, name))
+                want[i, name] = min(want.get((i, name), (0, 0, 0)), (-round(n / size, 6), x, y))
+    assert got == {k: (-c, x, y) for k, (c, x, y) in want.items()} and (0, "apache-2.0-header") in got and (2, "apache-2.0-header") in got and (3, "apache-2.0-header") not in got
+
+
+def test_licenses_are_told_apart(spark):
+    full = lambda name: license_scan.plain(license_scan.TEMPLATES[name])
+    cases = {
+        "Released under the GPL License.": "gpl-notice", "Released under the BSD License": "bsd-notice", "It was released on Monday under the new license of trade": None,
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "Licensed under CC BY-NC-ND 4.0.": "cc-by-nc-nd-4.0", "Licensed under CC BY-SA 2.0.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice", "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-notice",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0-notice", "Released under the terms of the MIT License.": "mit-notice",
+        full("mit"): "mit", full("bsd-2-clause"): "bsd-2-clause", full("bsd-3-clause"): "bsd-3-clause", full("gpl-2.0-header"): "gpl-2.0-header", full("agpl-3.0-header"): "agpl-3.0-header", full("isc"): "isc",
+    }
+    got = {}
+    for r in license_scan.licenses(docs(spark, ["some words before. " * 9 + t for t in cases])).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {name} for i, name in enumerate(cases.values()) if name}
+    every = {r.license for r in license_scan.licenses(docs(spark, [" and then ".join(cases)])).collect()}
+    assert every == {name for name in cases.values() if name}
+    own = license_scan.licenses(docs(spark, ["one two three four", "one two x three"]), {"own": "one two three"}).collect()
+    assert {(r.doc_id, r.coverage, r.end_word) for r in own} == {(0, 1.0, 3), (1, 1.0, 4)}  # without marks too
 
 
 def test_jaccard_is_brute_force(spark):
@@ -143,11 +268,26 @@ def test_jaccard_is_brute_force(spark):
     sets = [{" ".join(t.split()[i : i + 2]) for i in range(max(1, len(t.split()) - 1))} if t and t.split() else set() for t in texts]
     want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b}
     got = {(r.doc_a, r.doc_b): r.similarity for r in jaccard_join.jaccard_pairs(docs(spark, texts)).collect()}
+    got |= {(i, 49): v for (i, j), v in got.items() if j == 48}  # 49 has the set of 48
     assert all(abs(want[k] - v) < 1e-5 and v >= 0.6 for k, v in got.items())
     sure = {k for k, v in want.items() if v >= 0.6}
     assert len(sure & got.keys()) >= 0.9 * len(sure) and {k for k in sure if want[k] >= 0.7} <= got.keys()
 
 
+def linked(sets, threshold=(3, 5)):
+    """Pairs of different sets (by the first text of each) at the threshold or over, and the classes of all texts."""
+    first, lead = {}, []
+    for i, x in enumerate(sets):
+        lead.append(first.setdefault(frozenset(x), i))
+    reps = sorted(set(lead))
+    pairs = {(i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6) for i, j in itertools.combinations(reps, 2) if threshold[1] * len(sets[i] & sets[j]) >= threshold[0] * len(sets[i] | sets[j]) > 0}
+    root = list(range(len(sets)))
+    for i, j in [*pairs, *((lead[i], i) for i in range(len(sets)))]:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    return lead, pairs, root
+
+
 def test_jaccard_loses_no_pair_at_the_threshold(spark):
     rng, texts = random.Random(2), []
     for i in range(1500):  # 75 of 125 grams in common: 0.6
@@ -159,10 +299,34 @@ def test_jaccard_loses_no_pair_at_the_threshold(spark):
         base = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.choice([2, 4, 9, 30, 150, 700]))]
         for _ in range(6):
             texts.append(" ".join(w if rng.random() > 0.08 else f"w{rng.randrange(300)}" for w in base[: rng.randrange(len(base) * 6 // 10, len(base)) + 1]))
+    base = [f"v{i}" for i in range(250)]
+    for _ in range(60):  # of many versions of one text some are linked in chains
+        base = [w if rng.random() > 0.05 else f"z{rng.randrange(99)}" for w in base]
+        texts.append(" ".join(base))
+    texts += texts[::7] + texts[:3]
     sets = [{" ".join(t.split()[i : i + 2]) for i in range(max(1, len(t.split()) - 1))} for t in texts]
-    want = {(i, j): round(len(a & b) / len(a | b), 6) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if 5 * len(a & b) >= 3 * len(a | b)}
+    lead, want, root = linked(sets)
     got = {(r.doc_a, r.doc_b): r.similarity for r in jaccard_join.jaccard_pairs(docs(spark, texts)).collect()}
-    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    copies = {(i, j): 1.0 for j, i in enumerate(lead) if i != j}
+    assert len(want) > 100 and got.keys() == (want | copies).keys() and all(abs(got[k] - v) < 2e-6 for k, v in (want | copies).items())
+    rows = {r.doc_id: r for r in jaccard_join.jaccard_classes(docs(spark, texts)).collect()}
+    links = Counter(e for pair in want for e in pair)
+    best = {}
+    for pair, like in want.items():
+        for e in pair:
+            best[e] = max(best.get(e, 0), like)
+    many = Counter(lead)
+    for i in range(len(texts)):
+        if many[lead[i]] == 1 and not links[lead[i]]:
+            assert i not in rows
+        else:
+            r = rows[i]
+            assert (r.class_id, r.copies, r.links) == (root[i], many[lead[i]] - 1, links[lead[i]])
+            assert abs(r.similarity - (1.0 if many[lead[i]] > 1 else best[lead[i]])) < 2e-6
+    groups = {r.doc_id: r.group for r in jaccard_join.near_groups(docs(spark, texts)).collect()}
+    assert groups == {i: r.class_id for i, r in rows.items()}
+    left = {r.doc_id for r in jaccard_join.drop_near_copies(docs(spark, texts)).collect()}
+    assert left == {i for i in range(len(texts)) if root[i] == i}
 
 
 def test_quality(spark):
@@ -178,7 +342,7 @@ def test_neighbours_recall_ties_and_odd_rows(spark):
     rows += [(9000 + i, rows[0][1]) for i in range(15)] + [(9000, rows[0][1]), (9100, None), (9101, []), (9102, [0.0] * 64), (9103, [float("nan")] * 64), (9104, [1.0, 2.0]), (9105, [2.0, 1.0]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dims", F.lit("x"))
     got = {}
-    for r in ann.neighbours(df).orderBy("vec_id", "rank").collect():
+    for r in ann.neighbours(df, every=1).orderBy("vec_id", "rank").collect():
         got.setdefault(r.vec_id, []).append(r.neighbour_id)
     good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v and len(v) == 64 and np.isfinite(v).all() and np.any(v)}
     ids, x = np.array(list(good)), np.stack(list(good.values()))
@@ -188,10 +352,43 @@ def test_neighbours_recall_ties_and_odd_rows(spark):
         want = [int(j) for j in ids[np.lexsort((ids, d[k]))] if j != i][:10]
         hits += len(set(want) & set(got[i]))
     assert hits >= 0.95 * 10 * len(ids) and set(got) == set(good) | {9104, 9105}
+    some = {}
+    for r in ann.neighbours(df).orderBy("vec_id", "rank").collect():
+        some.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert some == {i: v for i, v in got.items() if i % 50 == 0}
     assert got[9003] == [rows[0][0], 9000, 9001, 9002, 9004, 9005, 9006, 9007, 9008, 9009] and got[9104] == [9105]
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_many_shards_and_parts(spark, monkeypatch):
+    rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
+    rows += [(20_000 + i, [float(i), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "PART", 40)
+    monkeypatch.setattr(ann.math, "sqrt", lambda x: 3.0)  # three shards
+    got = {}
+    for r in ann.neighbours(df, every=5).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    monkeypatch.undo()
+    for dims in (64, 2):
+        ids = np.array([i for i, v in rows if len(v) == dims])
+        x = ann._unit(np.array([v for _, v in rows if len(v) == dims]))
+        d = np.round(1 - x.astype(float) @ x.T.astype(float), 6)
+        hits = [len({int(j) for j in ids[np.lexsort((ids, d[k]))] if j != i} & got[i]) for k, i in enumerate(ids.tolist()) if i % 5 == 0]
+        assert min(hits) == 10
+        near = [len(set([int(j) for j in ids[np.lexsort((ids, d[k]))] if j != i][:10]) & got[i]) for k, i in enumerate(ids.tolist()) if i % 5 == 0]
+        assert np.mean(near) >= 9
+
+
+def test_met_points_that_are_displaced(monkeypatch):
+    x = ann._unit(np.random.default_rng(1).normal(size=(900, 8)))
+    edges, start = ann.graph(x)
+    found = ann.search(x, edges, start, x[:50], 32)
+    monkeypatch.setattr(ann, "MET", 16)
+    again = ann.search(x, edges, start, x[:50], 32)
+    assert (found[0] == again[0]).all() and all(len(set(r)) == len(r) for r in again[0].tolist())
+
+
 def test_graph_recall_when_large():
     x = ann._unit(np.random.default_rng(0).normal(size=(3000, 16)))
     edges, start = ann.graph(x)
@@ -221,6 +418,10 @@ def test_shards_are_runs_of_the_curve(spark, tmp_path):
     assert all(max(span[a]) <= min(span[b]) for a, b in zip(order, order[1:]))
     hilbert.written_shards(d, str(tmp_path / "out"), shard_chars=100_000)
     assert spark.read.parquet(str(tmp_path / "out")).drop("shard").exceptAll(d).count() == 0
+    o = odd(spark).withColumnRenamed("shard", "Shard")
+    assert hilbert.written_shards(o, str(tmp_path / "odd")) == "shard_"
+    assert spark.read.parquet(str(tmp_path / "odd")).drop("shard_").select(*o.columns).exceptAll(o).count() == 0
+    assert hilbert.quarters(8)[-1] > 2**61 and hilbert.quarters(6)[-1] < 2**17
 
 
 def test_packing_round_trip(spark):
@@ -240,6 +441,16 @@ def test_packing_round_trip(spark):
     for r in rows:
         size[r.window_id] += r.n_words
     assert max(size.values()) <= 100 and len(size) <= 1.15 * sum(size.values()) / 100
+    near_half = np.arange(513, 513 + 500)
+    assert len(set(packing.windows(near_half, 1024).tolist())) == 500 == packing.fewest(near_half, 1024)
+    thirds = np.full(300, 400)
+    assert packing.fewest(thirds, 1024) == 150 and np.bincount(packing.windows(thirds, 1024), thirds).max() <= 1024
+    for seed in range(20):  # never fewer windows than any packing needs, and none over the capacity
+        r = np.random.default_rng(seed)
+        sizes = r.integers(1, 100, r.integers(1, 9))
+        at = packing.windows(sizes, 100)
+        fit = min(k for k in range(1, len(sizes) + 1) if any(np.bincount(np.array(w), sizes, k).max() <= 100 for w in itertools.product(range(k), repeat=len(sizes)))) if len(sizes) < 6 else packing.fewest(sizes, 100)
+        assert np.bincount(at, sizes).max() <= 100 and packing.fewest(sizes, 100) <= fit <= len(set(at.tolist()))
     sums = [sorted(np.bincount(packing.differencing(np.array(x), 2), x, 2)) for x in ([8, 7, 6, 5, 4],)]
     assert sums == [[14, 16]]
 
@@ -292,6 +503,55 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxic_documents(d, labels.where("toxic = 0")).count() == 0
 
 
+def test_stages_are_brute_force(spark):
+    """Each stage's rows against what plain Python makes of its own input."""
+    rng, word = random.Random(8), lambda: f"w{rng.randrange(4000)}"
+    base = [[word() for _ in range(rng.randrange(60, 200))] for _ in range(160)]
+    bad = [[*b[:30], "scumword", *b[30:60], "idiotword"] for b in base[:25]]
+    passage = [word() for _ in range(70)]
+    texts = base + bad + [[x if rng.random() > 0.02 else word() for x in b] for b in base[20:40]] + [b[:40] + passage + b[40:] for b in base[40:50]]
+    d = docs(spark, [" ".join(t) for t in texts]).withColumn("lang", F.lit("xx"))
+    toxic = set(range(160, 185))
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, len(texts), 1) if i % 3], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(d, labels).collect()}
+    model = {r.doc_id: r.score for r in toxicity.scores(d, labels).collect()}
+    assert kept == {i for i, s in model.items() if s <= 0} and len(toxic & kept) == 0 and len(kept) == len(texts) - len(toxic)
+    d = d.where(F.col("doc_id").isin(*kept))
+    sets = {i: {tuple(texts[i][k : k + 2]) for k in range(len(texts[i]) - 1)} for i in kept}
+    order = sorted(kept)
+    _, _, root = linked([sets[i] for i in order])
+    left = {r.doc_id for r in jaccard_join.drop_near_copies(d).collect()}
+    assert left == {i for k, i in enumerate(order) if root[k] == k} and 20 <= len(kept) - len(left) <= 30
+    d = d.where(F.col("doc_id").isin(*left))
+    known = {}
+    for i in sorted(left):
+        for k in range(len(texts[i]) - 49):
+            known.setdefault(tuple(texts[i][k : k + 50]), i)
+    want = {}
+    for i in sorted(left):
+        gone = {p for k in range(len(texts[i]) - 49) if known[tuple(texts[i][k : k + 50])] < i for p in range(k, k + 50)}
+        if words := [x for k, x in enumerate(texts[i]) if k not in gone]:
+            want[i] = words
+    cut = substring_dedup.drop_repeats(d)
+    assert {r.doc_id: r.text.split() for r in cut.collect()} == want
+    many = {r.doc_id: r.copies for r in mixing.copies(cut).collect()}
+    mixed = Counter(r.doc_id for r in mixing.mixed(cut).collect())
+    assert mixed == {i: n for i, n in many.items() if n}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    for name, rows in (("odd", odd(spark)), ("empty", odd(spark).limit(0))):
+        sf = str(tmp_path / name)
+        rows.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(4, 0, 1), (None, 1, 1), (5, None, None), (5, 1, 0), (99, 1, 1)] if name == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        docs_in = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs_in = corpus_pipeline.staged(stage(spark, docs_in, sf))
+            assert docs_in.columns == rows.columns
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert bool(out) == (name == "odd")
+
+
 def test_pipeline_and_queries(spark):
     d = table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
