@@ -50,6 +50,13 @@ def adjacent(triples: DataFrame) -> DataFrame:
     return triples.select(F.inline(F.array(F.struct(F.col("s").alias("u"), F.col("o").alias("v"), "p", "id"), F.struct(F.col("o").alias("u"), F.col("s").alias("v"), "p", "id"))))
 
 
+def adjacency(nodes: DataFrame, triples: DataFrame) -> DataFrame:
+    """(u, v, p, id) of every triple, both ways, and a row without v for each node that has none."""
+    both = adjacent(triples)
+    alone = nodes.select(F.col("id").alias("u")).join(both.select("u"), "u", "left_anti")
+    return both.select("u", "v", "p", "id").unionByName(alone, allowMissingColumns=True)
+
+
 def hops(depth: float | None, default: int = 2) -> int:
     return default if depth is None or depth != depth else min(MOST_HOPS, max(0, int(depth)))
 
@@ -106,13 +113,13 @@ def difference(before: DataFrame, after: DataFrame, payload: Sequence[str]) -> D
 
 
 def shortest_path(triples: DataFrame, start: str, end: str, most: int = 6) -> list[tuple[str, str | None]]:
-    """(node, predicate to the next) along a shortest path, or nothing; of parents, the one of the least predicate, then id. The driver holds the path alone."""
+    """(node, predicate to the next) along a shortest path, or nothing; of parents, the one of the first predicate, then id, in the order that people use. The driver holds the path alone."""
     if start == end:
         return [(start, None)]
     spark, links = triples.sparkSession, adjacent(triples).select("u", "v", "p")
     levels = [spark.createDataFrame([(start, None, None)], "id string, p string, parent string")]
     for _ in range(hops(most, 6)):
-        near = links.join(levels[-1].select(F.col("id").alias("u")), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct("p", "u")).alias("m")).select("id", F.col("m.p").alias("p"), F.col("m.u").alias("parent"))
+        near = links.join(levels[-1].select(F.col("id").alias("u")), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct(F.expr("p collate unicode").alias("pk"), F.expr("u collate unicode").alias("uk"), "p", "u")).alias("m")).select("id", F.col("m.p").alias("p"), F.col("m.u").alias("parent"))
         for before in levels[-2:]:
             near = near.join(before.select("id"), "id", "left_anti")
         near = written(near)
