@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindlegraph import build, evaluate, export, ontology, review
 from spindlegraph.components import written
-from spindlegraph.functions import text
-from spindlegraph.operators import graph, seeds
-from spindlegraph.sources import star
+from spindlegraph.functions import plain, text
+from spindlegraph.operators import centrality, communities, graph, normalize, seeds
+from spindlegraph.plans import retrieval
+from spindlegraph.sources import discover, parsers, star
 
+ENDS = ("Customer:1", "Supplier:1")
 NATION, TERM, QUESTION = "Nation:nation-3", "supplier#00000000", "which widget parts of brand does customer 12 order"
 
 
+def _graph(spark, sf_dir) -> retrieval.Graph:
+    nodes, _, triples = star.graph(spark, sf_dir)
+    return retrieval.Graph(nodes, triples)
+
+
 def _triples(spark, sf_dir) -> DataFrame:
-    return graph.united(star.evidence(spark, sf_dir))
+    return star.graph(spark, sf_dir)[2]
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    return star.graph(spark, sf_dir)[1]
+
+
+def _read(spark, sf_dir, table) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _seed(spark) -> DataFrame:
@@ -50,16 +66,16 @@ def neighborhood_1hop(spark, sf_dir):
 
 
 def seed_distances(spark, sf_dir):
-    return graph.distances(written(_triples(spark, sf_dir)), _seed(spark), 3)
+    return graph.distances(_triples(spark, sf_dir), _seed(spark), 3)
 
 
 def seed_expand_2hop(spark, sf_dir):
-    triples = written(_triples(spark, sf_dir))
+    triples = _triples(spark, sf_dir)
     return graph.incident(triples, graph.distances(triples, _seed(spark), 1)).select("id", "s", "p", "o")
 
 
 def shortest_path(spark, sf_dir):
-    path = graph.shortest_path(written(_triples(spark, sf_dir)), "Customer:1", "Supplier:1")
+    path = graph.shortest_path(_triples(spark, sf_dir), *ENDS)
     return spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(path)], "step int, node string, predicate string")
 
 
@@ -94,22 +110,13 @@ def token_idf(spark, sf_dir):
 
 
 def citations(spark, sf_dir):
-    evidence = star.evidence(spark, sf_dir).where("p = 'supplies'")
-    return evidence.select(text.triple_id(F.col("s"), F.col("p"), F.col("o")).alias("triple_id"), F.col("source").alias("source_path"), F.col("line").alias("start_line")).distinct()
-
-
-def citations_all(spark, sf_dir):
-    return graph.cited(star.evidence(spark, sf_dir))
+    """Every place of every triple."""
+    return graph.cited(_evidence(spark, sf_dir))
 
 
 def semantic_seeds(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return rows.crossJoin(F.broadcast(asked)).select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where("score >= 0.25").orderBy(F.desc("score"), "vec_id").limit(5)
-
-
-def semantic_seeds_all(spark, sf_dir):
-    return seeds.every_seed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """For every vector the five nearest."""
+    return seeds.every_seed(_read(spark, sf_dir, "embeddings"))
 
 
 def redaction(spark, sf_dir):
@@ -126,13 +133,282 @@ def slugs(spark, sf_dir):
     return star.nodes(spark, sf_dir).select("id", text.slug(F.col("label")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (provenance_union, filter_predicate_conf, filter_types, term_seeds, resolve_term, edge_projection, neighborhood_1hop, seed_distances, seed_expand_2hop, shortest_path, degree_top, predicate_counts, community_edges, invalidate_paths, diff_triples, token_idf, citations, citations_all, semantic_seeds, semantic_seeds_all, redaction, last_action_wins, slugs)}
+def path_triples(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return retrieval.path_triples(g, graph.shortest_path(g.triples, *ENDS)).select("step", "id", "s", "p", "o")
+
+
+def why_sentences(spark, sf_dir):
+    found = retrieval.why(_graph(spark, sf_dir), *ENDS)
+    return spark.createDataFrame(list(enumerate(found.sentences)), "step int, sentence string")
+
+
+def alternative_routes(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    ways = retrieval.alternative_paths(g, graph.shortest_path(g.triples, *ENDS), 3)
+    return spark.createDataFrame([(i, k, n) for i, way in enumerate(ways) for k, (n, _) in enumerate(way)], "route int, step int, node string")
+
+
+def clamped_depth(spark, sf_dir):
+    """A depth below 0 is 0: the seeds alone."""
+    return graph.distances(_triples(spark, sf_dir), _seed(spark), graph.hops(-3))
+
+
+def adjacency(spark, sf_dir):
+    nodes, _, triples = star.graph(spark, sf_dir)
+    return graph.adjacency(nodes, triples)
+
+
+def pagerank_top(spark, sf_dir):
+    nodes, _, triples = star.graph(spark, sf_dir)
+    return centrality.top_nodes(nodes, triples, 20).select("id", "degree", F.round("pagerank", 6).alias("pagerank"))
+
+
+def community_members(spark, sf_dir):
+    """Of customers and suppliers by nation: within, a community is a nation's; each member with its community's first node and its links inside."""
+    found = communities.members(_triples(spark, sf_dir).where("p = 'located_in' or p = 'part_of'"))
+    return found.select("id", F.col("first").alias("community"), "degree", "settled")
+
+
+def community_stats(spark, sf_dir):
+    nodes, _, triples = star.graph(spark, sf_dir)
+    return communities.communities(nodes, triples.where("p = 'located_in'")).select("id", "stable_key", "label", "size", "internal_triple_count", F.col("top_nodes")[0]["id"].alias("top_node"))
+
+
+def _steps(spark, sf_dir):
+    """What event types users go from and to, and whether users support or contradict them, as triples with every event as evidence."""
+    e = _read(spark, sf_dir, "events")
+    after = e.withColumn("next", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("next is not null")
+    steps = after.select(F.concat(F.lit("EventType:"), "event_type").alias("s"), F.lit("precedes").alias("p"), F.concat(F.lit("EventType:"), "next").alias("o"), "event_id")
+    kinds = e.select(F.concat(F.lit("User:"), "user_id").alias("s"), F.when(F.col("value") >= 50, "supports").otherwise("contradicts").alias("p"), F.concat(F.lit("EventType:"), "event_type").alias("o"), "event_id")
+    return steps.unionByName(kinds).groupBy("s", "p", "o").agg(F.count("*").alias("n")).withColumn("id", text.triple_id(F.col("s"), F.col("p"), F.col("o")))
+
+
+def conflicts(spark, sf_dir):
+    """Items for review of both kinds, with their ids."""
+    return normalize.review_ids(normalize.conflicts(written(_steps(spark, sf_dir)))).select("id", "payload")
+
+
+def conflict_reciprocal(spark, sf_dir):
+    return graph.reciprocal(written(_steps(spark, sf_dir)), normalize.DIRECTIONAL)
+
+
+def _gate(spark, sf_dir, policy):
+    onto = ontology.Ontology("star", "1", "Star", ("Region", "Nation", "Customer", "Supplier", "Part", "Concept"), ("located_in", "contains", "supplies", "related_to"), True, policy, policy)
+    ev = _evidence(spark, sf_dir).select("s", "p", "o", F.col("source").alias("source_path"), F.lit("table").alias("extractor"), F.lit("-").alias("content_hash"), F.col("tier").alias("confidence"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(None).cast("string").alias("first_seen"), F.lit(None).cast("string").alias("last_seen"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<string>").alias("supersedes"), F.lit(None).cast("array<string>").alias("superseded_by"), F.struct(F.lit(0).alias("phase"), F.col("source").alias("path"), F.col("line").cast("long").alias("n")).alias("ord"))
+    return normalize.gated(ev, star.graph(spark, sf_dir)[0].select("id", "type", "label"), onto)
+
+
+def policy_review(spark, sf_dir):
+    """Orders are no known type, nor part_of a known predicate: what is asked for each."""
+    asked = normalize.review_ids(_gate(spark, sf_dir, "review")[2])
+    return asked.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def policy_coerce(spark, sf_dir):
+    passed, nodes, _ = _gate(spark, sf_dir, "coerce")
+    return passed.groupBy(F.col("p").alias("name")).agg(F.count("*").alias("n")).unionByName(nodes.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")))
+
+
+def policy_drop(spark, sf_dir):
+    return _gate(spark, sf_dir, "drop")[0].groupBy("p").agg(F.count("*").alias("n"))
+
+
+def first_last_seen(spark, sf_dir):
+    """Events as evidence of which user did what: when it was seen first and last, by kind of day."""
+    e = _read(spark, sf_dir, "events")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    half = F.when(F.col("value") >= 50, "EXTRACTED").otherwise("INFERRED")
+    none = lambda kind: F.lit(None).cast(kind)
+    ev = e.select(F.concat(F.lit("User:"), "user_id").alias("s"), F.lit("did").alias("p"), F.concat(F.lit("EventType:"), "event_type").alias("o"), F.lit("events").alias("source_path"), F.lit("table").alias("extractor"), F.lit("-").alias("content_hash"), half.alias("confidence"), none("int").alias("start_line"), none("int").alias("end_line"), stamp.alias("first_seen"), stamp.alias("last_seen"), F.col("value").alias("score"), none("array<string>").alias("supersedes"), none("array<string>").alias("superseded_by"), F.struct(F.lit(0).alias("phase"), F.lit("events").alias("path"), F.col("event_id").alias("n")).alias("ord"))
+    return normalize.unioned(ev, "2030-01-01").select("s", "o", "confidence", "first_seen", "last_seen", F.round("score", 6).alias("score"))
+
+
+def retracted_triples(spark, sf_dir):
+    """Events as episodes: a return retracts what the user did before; what is left, by user."""
+    e = _read(spark, sf_dir, "events")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    episodes = e.select(F.col("event_id").alias("line"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("string").alias("at"), F.lit("user").alias("actor"), F.when(F.col("value") < 20, "retract").otherwise("assert").alias("action"), F.concat(F.lit("User:"), "user_id").alias("s"), F.lit("did").alias("p"), F.concat(F.lit("EventType:"), "event_type").alias("o"), *map(none, ("s_label", "o_label", "s_type", "o_type", "confidence", "note", "supersedes")))
+    return build.replayed(episodes)[1].select("s", "o", "confidence", "content_hash")
+
+
+def manifest_delta(spark, sf_dir):
+    """Documents against those of another day, whose texts of odd ids were others and of which every seventh wasn't there yet."""
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.content_hash(F.col("text")).alias("content_hash"), "doc_id")
+    then = d.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 2 == 1, text.content_hash(F.lit(""))).otherwise(F.col("content_hash")).alias("content_hash"))
+    return build.delta(d.select("path", "content_hash"), then.unionByName(spark.createDataFrame([("gone", "-")], "path string, content_hash string")))
+
+
+def content_hashes(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+def seed_scores(spark, sf_dir):
+    nodes = star.graph(spark, sf_dir)[0]
+    return retrieval.seed_scores(nodes, plain.tokens(QUESTION)).select("id", F.round("score", 6).alias("score"))
+
+
+def suggested_seeds(spark, sf_dir):
+    return retrieval.suggestions(star.graph(spark, sf_dir)[0], plain.tokens("nattions regiom"), 10)
+
+
+def relevance_scores(spark, sf_dir):
+    triples = _triples(spark, sf_dir)
+    return retrieval.relevance(triples, graph.distances(triples, _seed(spark), 2)).select("id", "score")
+
+
+def budget_cut(spark, sf_dir):
+    """What is left of all triples within a million tokens, by tier and id."""
+    kept, _ = retrieval.budgeted(_graph(spark, sf_dir), 1_000_000, _seed(spark))
+    return kept.triples.select("id", "confidence")
+
+
+def term_query(spark, sf_dir):
+    return retrieval.query(_graph(spark, sf_dir), retrieval.Query(term="supplier#00000000", hops=1)).graph.triples.select("id", "s", "p", "o")
+
+
+def filter_query(spark, sf_dir):
+    return retrieval.query(_graph(spark, sf_dir), retrieval.Query(types=("Supplier", "Part"), predicates=("supplies",), least_tier="EXTRACTED")).graph.nodes.select("id", "type")
+
+
+def pack_citations(spark, sf_dir):
+    p = retrieval.pack(_graph(spark, sf_dir), "which nation is in region#1", hops=1, k=3, budget=4000)
+    return spark.createDataFrame([(c["triple_id"], c["s"], c["p"], c["o"], c["source_count"]) for c in p.citations], "triple_id string, s string, p string, o string, source_count int")
+
+
+def answers(spark, sf_dir):
+    """An answer, an abstention and one by themes would do for every question; these are two."""
+    g = _graph(spark, sf_dir)
+    found = [retrieval.answer(g, q, hops=1, budget=2000) for q in ("nation-3", "quagga zebra")]
+    return spark.createDataFrame([(a.mode, a.reason, a.markdown) for a in found], "mode string, reason string, markdown string")
+
+
+def export_view(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    nodes, _, _ = export.view(retrieval.Graph(g.nodes, g.triples.withColumn("ord", F.lit(0))), 500)
+    return nodes
+
+
+def edges_and_nodes(spark, sf_dir):
+    """The projection: every edge with its label, and every node."""
+    g = _graph(spark, sf_dir)
+    edges = g.triples.select("id", F.col("s").alias("source"), F.col("o").alias("target"), F.col("p").alias("label"))
+    return edges.unionByName(g.nodes.select("id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), "label"))
+
+
+def review_summary(spark, sf_dir):
+    asked = normalize.review_ids(_gate(spark, sf_dir, "review")[2])
+    return review.summarised(asked)
+
+
+def queue_merge(spark, sf_dir):
+    """Conflicts found now beside a queue that has those of reciprocal steps, of which some are decided."""
+    found = written(normalize.review_ids(normalize.conflicts(written(_steps(spark, sf_dir)))))
+    cycles = found.where("payload like '%reciprocal%'")
+    return review.merged_tables(cycles.where("payload like '%click%'"), cycles.where("payload not like '%click%'"), found).select("id")
+
+
+def eval_metrics(spark, sf_dir):
+    """Labels as results of cases: toxic ones fail, quality is their recall."""
+    rows = _read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), (F.col("toxic") == 0).alias("ok"), F.col("quality").cast("double").alias("seed_recall"), F.lit(None).cast("boolean").alias("citation_valid"))
+    return evaluate.metrics(rows).withColumn("seed_recall_avg", F.round("seed_recall_avg", 6))
+
+
+def prose_labels(spark, sf_dir):
+    """Scalar functions: local part of ids, predicates in prose, singular and plural forms counted."""
+    t = _triples(spark, sf_dir).select("p", text.prose(F.col("p")).alias("prose"), F.split(F.col("s"), ":")[0].alias("type"), text.local_part(F.col("s")).alias("local"))
+    return t.groupBy("p", "prose", "type").agg(F.count("*").alias("n"), F.max("local").alias("last"))
+
+
+def _parsed(rows, ending):
+    """Files (path, content) through the parser of their ending."""
+    data = rows.select("path", F.encode("content", "UTF-8").alias("content"))
+    registry = {e: (name, parser) for name, (endings, parser) in parsers.BUILT_IN.items() for e in endings if e == ending}
+    return data.mapInArrow(discover._extract(registry), discover.DDL)
+
+
+def extract_markdown(spark, sf_dir):
+    """Each order as a Markdown file that states and links what it contains."""
+    line = F.format_string("[[order-%d]] --contains--> [[part-%d]]", "l_orderkey", "l_partkey")
+    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t")))).alias("x"))
+    files = items.select(F.format_string("o%d.md", "l_orderkey").alias("path"), F.concat(F.lit("# Order\n"), F.array_join(F.transform("x", lambda y: y["t"]), "\n"), F.lit("\nprose with a #tag")).alias("content"))
+    return _parsed(files, ".md").where("kind = 'triple'").select("path", "s", "p", "o", "start_line")
+
+
+def extract_jsonl(spark, sf_dir):
+    """Each nation as a file of JSON lines: itself, and its customers with an edge to it."""
+    nation, customer = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "customer")
+    record = F.to_json(F.struct(F.lit("Customer").alias("type"), F.col("c_name").alias("label"), F.array(F.struct(F.lit("located_in").alias("p"), F.struct(F.lit("Nation").alias("type"), F.col("n_name").alias("label")).alias("o"))).alias("edges")))
+    files = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.array_join(F.sort_array(F.collect_list(record)), "\n").alias("content"))
+    return _parsed(files.select(F.concat("n_name", F.lit(".jsonl")).alias("path"), F.concat("content", F.lit("\nnot json")).alias("content")), ".jsonl").where("kind in ('triple', 'diagnostic')").select("path", "kind", "s", "p", "o", "code")
+
+
+def extract_yaml(spark, sf_dir):
+    """Each part as a flat YAML file with its brand as a relation, its type as a keyword, and a note."""
+    p = _read(spark, sf_dir, "part")
+    files = p.select(F.format_string("p%d.yaml", "p_partkey").alias("path"), F.format_string("title: part %d\nuses: %s\nkeywords: [%s, all]\nsize: %d # note\n", "p_partkey", "p_brand", "p_type", "p_size").alias("content"))
+    return _parsed(files, ".yaml").where("kind = 'triple'").select("path", "s", "p", "o", "start_line")
+
+
+def merged_nodes(spark, sf_dir):
+    """Nations, each again under another id of the same name: one of each is left, with where the other's id leads."""
+    n = _read(spark, sf_dir, "nation")
+    order = lambda phase: F.struct(F.lit(phase).alias("phase"), F.lit("nation").alias("path"), F.col("n_nationkey").cast("long").alias("n")).alias("ord")
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda id_, phase: n.select(id_.alias("id"), F.lit("Nation").alias("type"), F.col("n_name").alias("label"), none("string").alias("description"), none("array<string>").alias("aliases"), order(phase))
+    both = row(text.node_id(F.lit("Nation"), F.col("n_name")), 0).unionByName(row(F.concat(F.lit("Nation:key-"), F.col("n_nationkey")), 1))
+    nodes, rewrites, _ = normalize.by_name(both)
+    return nodes.select("id").join(rewrites.select(F.col("new").alias("id"), F.col("old").alias("alias")), "id", "left")
+
+
+_NAMES = (
+    provenance_union, filter_predicate_conf, filter_types, term_seeds, resolve_term, edge_projection, edges_and_nodes, adjacency, neighborhood_1hop, clamped_depth, seed_distances, seed_expand_2hop, shortest_path, path_triples, why_sentences, alternative_routes, degree_top, pagerank_top,
+    predicate_counts, community_edges, community_members, community_stats, conflicts, conflict_reciprocal, policy_review, policy_coerce, policy_drop, first_last_seen, retracted_triples, invalidate_paths, diff_triples, manifest_delta, content_hashes, token_idf, seed_scores, suggested_seeds, relevance_scores,
+    budget_cut, term_query, filter_query, pack_citations, answers, export_view, review_summary, queue_merge, eval_metrics, prose_labels, extract_markdown, extract_jsonl, extract_yaml, merged_nodes, citations, semantic_seeds, redaction, last_action_wins, slugs,
+)
+QUERIES = {f.__name__: f for f in _NAMES}
 
 _T = "with" + star.SQL
 _NAME = "case {} when 2 then 'EXTRACTED' when 1 then 'INFERRED' else 'AMBIGUOUS' end"
 _ADJ = _T + ", adj as (select s as u, o as v from triples union all select o, s from triples), d0 as (select '" + NATION + "' as id), d1 as (select distinct v as id from adj join d0 on u = d0.id where v not in (select id from d0))"
 _UNITED = "select 't_' || substr(sha256(s || chr(0) || p || chr(0) || o), 1, 16) as id, max(r)::int as r, count(*) as evidence from rk where {} group by s, p, o"
 _TOKENS = list(dict.fromkeys(text.question_tokens(QUESTION)))
+_PATH = _T + f""", adj as (select s as u, o as v, p from triples union all select o, s, p from triples),
+ l0 as (select '{ENDS[0]}' as id),
+ l1 as (select v as id, min({{'p': p, 'u': u}}) as m from adj join l0 on u = l0.id where v not in (from l0) group by v),
+ l2 as (select v as id, min({{'p': p, 'u': u}}) as m from adj join l1 on u = l1.id where v not in (select id from l1) and v not in (select id from l0) group by v),
+ l3 as (select v as id, min({{'p': p, 'u': u}}) as m from adj join l2 on u = l2.id where v not in (select id from l2) and v not in (select id from l1) group by v),
+ l4 as (select v as id, min({{'p': p, 'u': u}}) as m from adj join l3 on u = l3.id where v not in (select id from l3) and v not in (select id from l2) group by v),
+ l as (select 1 as depth, * from l1 union all select 2, * from l2 union all select 3, * from l3 union all select 4, * from l4),
+ e4 as (select min(depth) as depth from l where id = '{ENDS[1]}'),
+ b4 as (select l.depth, l.id, l.m from l join e4 using (depth) where l.id = '{ENDS[1]}'),
+ b3 as (select l.depth, l.id, l.m from l join b4 on l.depth = b4.depth - 1 and l.id = b4.m.u),
+ b2 as (select l.depth, l.id, l.m from l join b3 on l.depth = b3.depth - 1 and l.id = b3.m.u),
+ b1 as (select l.depth, l.id, l.m from l join b2 on l.depth = b2.depth - 1 and l.id = b2.m.u),
+ back as (from b4 union all from b3 union all from b2 union all from b1),
+ way as (select depth - 1 as step, m.u as node, m.p as predicate from back union all select depth, id, null from b4)"""
+_STEPS = """with e as (select *, lead(event_type) over (partition by user_id order by ts, event_id) as next from events),
+ q as (select 'EventType:' || event_type as s, 'precedes' as p, 'EventType:' || next as o from e where next is not null union select 'User:' || user_id, case when value >= 50 then 'supports' else 'contradicts' end, 'EventType:' || event_type from events),
+ t as (select *, 't_' || substr(sha256(s || chr(0) || p || chr(0) || o), 1, 16) as id from q)"""
+_CONFLICT_IDS = _STEPS + """, x as (select a.s as a, a.o as b, a.id as i, b.id as j from t a join t b on a.s = b.o and a.o = b.s and a.p = b.p where a.p = 'precedes' and a.s < a.o),
+ y as (select a.s, a.o, a.id as i, b.id as j from t a join t b on a.s = b.s and a.o = b.o where a.p = 'supports' and b.p = 'contradicts'),
+ z as (select '{"a":"' || a || '","b":"' || b || '","p":"precedes","reason":"reciprocal_cycle","triples":["' || i || '","' || j || '"]}' as payload from x union all select '{"o":"' || o || '","reason":"opposing_predicates","s":"' || s || '","triples":["' || i || '","' || j || '"]}' from y)
+ select 'rv_' || substr(sha256('conflict' || chr(0) || payload), 1, 8) as id, payload from z"""
+
+
+def _scores_sql() -> str:
+    """Scores by tokens: a token in a field, or a word of it that a form of the token may be a form of."""
+    form = "[w] || case when length(w) >= 4 and w like '%ies' then [w[:-4] || 'y'] else [] end || case when length(w) >= 4 and w like '%es' then [w[:-3]] else [] end || case when length(w) >= 3 and w like '%s' and w not like '%ss' then [w[:-2]] else [] end"
+    stem = "flatten(list_transform(list_filter(string_split_regex({0}, '[^a-z0-9]+'), lambda w: length(w) >= 2), lambda w: " + form + "))"
+    hit = lambda c, t: f"(contains({c}, '{t}') or list_has_any({c}s, {plain.variants(t)!r}))"
+    wanted = plain.tokens(QUESTION)
+    df = ", ".join(f"sum(({hit('l', t)} or {hit('d', t)})::int) as t{i}" for i, t in enumerate(wanted))
+    idf = lambda i: f"case when t{i} > 0 then ln(1 + n / t{i}) else 0 end"
+    score = " + ".join(f"{idf(i)} * (3 * {hit('l', t)}::int + {hit('d', t)}::int)" for i, t in enumerate(wanted))
+    return f", f0 as (select id, lower(label) as l, lower(coalesce(description, '')) as d from nodes), f as (select *, {stem.format('l')} as ls, {stem.format('d')} as ds from f0), c as (select count(*)::double as n, {df} from f) select id, round({score}, 6) as score from f, c where {score} > 0"
+
+
+_SCORES = _scores_sql()
 SQL = {
     "provenance_union": _T + f"select id, s, p, o, {_NAME.format('r')} as confidence, sources, evidence from triples",
     "filter_predicate_conf": _T + "select id, s, p, o, r from triples where p in ('supplies', 'placed') and r >= 1",
@@ -142,16 +418,54 @@ SQL = {
     "edge_projection": _T + f"select s as source, o as target, p as relation, {_NAME.format('r')} as confidence, id from triples",
     "neighborhood_1hop": _ADJ + " select id, 0 as depth from d0 union all select id, 1 from d1",
     "seed_distances": _ADJ + ", d2 as (select distinct v as id from adj join d1 on u = d1.id where v not in (select id from d0 union all select id from d1)), d3 as (select distinct v as id from adj join d2 on u = d2.id where v not in (select id from d1 union all select id from d2)) select id, 0 as depth from d0 union all select id, 1 from d1 union all select id, 2 from d2 union all select id, 3 from d3",
-    "seed_expand_2hop": _ADJ + ", k as (select id from d0 union all select id from d1) select id, s, p, o from triples where s in (from k) or o in (from k)",
+    "seed_expand_2hop": _ADJ + ", k as (select id as e from d0 union select id from d1) select id, s, p, o from triples join k on s = e union select id, s, p, o from triples join k on o = e",
     "degree_top": _T + ", e as (select s as id from triples union all select o from triples) select n.id, count(e.id) as degree from nodes n left join e on n.id = e.id group by n.id order by degree desc, n.id limit 20",
     "predicate_counts": _T + "select p, count(*) as n from triples group by p",
     "community_edges": _T + "select distinct least(s, o) as a, greatest(s, o) as b from triples where r >= 1 and s <> o",
     "invalidate_paths": _T + f"select id, {_NAME.format('r')} as confidence, evidence from ({_UNITED.format("not (source = 'lineitem' and line = 1)")})",
     "diff_triples": _T + f", a as ({_UNITED.format('true')}), b as ({_UNITED.format("line <> 1 or source <> 'lineitem'")}) select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' else 'changed' end as change from a full outer join b on a.id = b.id where a.id is null or b.id is null or (a.r, a.evidence) <> (b.r, b.evidence)",
     "token_idf": _T + ", k(token) as (values " + ", ".join(f"('{t}')" for t in _TOKENS) + "), c as (select token, count(*) filter (contains(lower(label), token) or contains(lower(description), token)) as df, count(*) as n from nodes, k group by token) select token, df, case when df > 0 then round(ln(1 + n / df), 6) else 0 end as idf from c",
-    "citations": "with" + star.SQL + "select distinct 't_' || substr(sha256(s || chr(0) || p || chr(0) || o), 1, 16) as triple_id, source as source_path, line as start_line from ev where p = 'supplies'",
-    "semantic_seeds": "select vec_id, score from (select e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q) where score >= 0.25 order by score desc, vec_id limit 5",
+    "citations": _T + f", b as (select s, p, o, max(r) as r, count(distinct (source, line)) as source_count from rk group by s, p, o) select distinct 't_' || substr(sha256(s || chr(0) || p || chr(0) || o), 1, 16) as triple_id, s, p, o, {_NAME.format('r')} as confidence, source_count, source as source_path, line as start_line from b join (select s, p, o, source, line from rk) using (s, p, o)",
+    "semantic_seeds": "with p as (select a.vec_id as asked, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b) select * from p where score >= 0.25 qualify row_number() over (partition by asked order by score desc, vec_id) <= 5",
     "redaction": "select conv_id, turn, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]', 'g'), '\\bsk-[A-Za-z0-9_-]{10,}\\b', '[REDACTED]', 'g')) as content_hash from conversations",
     "last_action_wins": "select user_id, arg_max(event_type, (ts, event_id)) as action from events group by user_id",
     "slugs": _T + f"select id, {star._SLUG.format('label')} as slug from nodes",
+    "edges_and_nodes": _T + "select id, s as source, o as target, p as label from triples union all select id, null, null, label from nodes",
+    "adjacency": _T + "select s as u, o as v, p, id from triples union all select o, s, p, id from triples union all select id, null, null, null from nodes where id not in (select s from triples union select o from triples)",
+    "clamped_depth": f"select '{NATION}' as id, 0 as depth",
+    "shortest_path": _PATH + " select (row_number() over (order by step) - 1)::int as step, node, predicate from way",
+    "path_triples": _PATH + ", w as (select (row_number() over (order by step) - 1)::int as step, node as a, predicate as p, lead(node) over (order by step) as b from way) select w.step, t.id, t.s, t.p, t.o from w join triples t on t.p = w.p and ((t.s = a and t.o = b) or (t.s = b and t.o = a))",
+    "pagerank_top": _T.replace("with", "with recursive", 1) + f""", e as (select s, o, count(*)::double as n from triples where s in (select id from nodes) and o in (select id from nodes) group by s, o), d as (select s, sum(n) as out from e group by s), g as (select e.s, e.o, n / out as share from e join d using (s)),
+ c as (select count(*)::double as n from nodes),
+ pr(k, id, rank) as (select 0, id, 1 / c.n from nodes, c union all
+  select k + 1, id, 0.15 / any_value(n) + 0.85 * any_value(lost) / any_value(n) + 0.85 * sum(flow) from (
+   select pr.k, g.o as id, pr.rank * g.share as flow, c.n, l.lost from pr join g on g.s = pr.id, c, (select coalesce(sum(rank) filter (id not in (select s from d)), 0) as lost from pr) l
+   union all select pr.k, pr.id, 0, c.n, l.lost from pr, c, (select coalesce(sum(rank) filter (id not in (select s from d)), 0) as lost from pr) l) where k < {centrality.MOST_ITERATIONS} group by k, id),
+ f as (select id, rank from pr where k = (select max(k) from pr)),
+ z as (select id, count(*) as degree from (select s as id from triples union all select o from triples) group by id)
+ select f.id, coalesce(degree, 0) as degree, round(rank, 6) as pagerank from f left join z using (id) order by rank desc, id limit 20""",
+    "community_stats": _T + """, m as (select o as community, s as id from triples where p = 'located_in' union select o, o from triples where p = 'located_in'), n as (select community, count(*) as size, substr(sha256(string_agg(id, chr(0) order by id)), 1, 16) as stable_key, min(id) as first from m group by community having count(*) >= 3)
+ select 'c_' || lpad(row_number() over (order by size desc, first)::varchar, 4, '0') as id, stable_key, label, size, size - 1 as internal_triple_count, community as top_node from n join nodes on nodes.id = community""",
+    "conflicts": _CONFLICT_IDS,
+    "conflict_reciprocal": _STEPS + " select a.s as a, a.p, a.o as b from t a join t b on a.s = b.o and a.o = b.s and a.p = b.p where a.p = 'precedes' and a.s < a.o",
+    "policy_review": _T + ", k as (select e.*, s.type as st, o.type as ot from ev e left join nodes s on s.id = e.s left join nodes o on o.id = e.o) select 'type_unknown' as kind, count(distinct case when st = 'Order' then s else o end) as n from k where st = 'Order' or ot = 'Order' union all select 'predicate_unknown', count(distinct (s, p, o)) from k where st is distinct from 'Order' and ot is distinct from 'Order' and p = 'part_of'",
+    "policy_coerce": _T + "select case when p in ('located_in', 'contains', 'supplies') then p else 'related_to' end as name, count(*) as n from ev group by 1 union all select case when type = 'Order' and id in (select s from ev union select o from ev) then 'Concept' else type end, count(*) from nodes group by 1",
+    "policy_drop": _T + "select e.p, count(*) as n from ev e left join nodes s on s.id = e.s left join nodes o on o.id = e.o where e.p in ('located_in', 'contains', 'supplies') and s.type is distinct from 'Order' and o.type is distinct from 'Order' group by e.p",
+    "first_last_seen": "select 'User:' || user_id as s, 'EventType:' || event_type as o, case when value >= 50 then 'EXTRACTED' else 'INFERRED' end as confidence, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) as first_seen, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) as last_seen, round(max(value), 6) as score from events group by 1, 2, 3",
+    "retracted_triples": "select 'User:' || user_id as s, 'EventType:' || event_type as o, 'INFERRED' as confidence, sha256(max(event_id)::varchar) as content_hash from events group by user_id, event_type having arg_max(value, event_id) >= 20",
+    "manifest_delta": "select doc_id::varchar as path, case when doc_id % 7 = 0 then 'changed' when doc_id % 2 = 1 and text <> '' then 'changed' else 'fresh' end as state from documents union all select 'gone', 'removed'",
+    "content_hashes": "select doc_id, 'sha256:' || sha256(text) as content_hash, ceil((length(text) + len(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g'))) / 4)::bigint as tokens from documents",
+    "seed_scores": _T + _SCORES,
+    "relevance_scores": _ADJ + ", d2 as (select distinct v as id from adj join d1 on u = d1.id where v not in (select id from d0 union all select id from d1)), d as (select id, 0 as depth from d0 union all select id, 1 from d1 union all select id, 2 from d2) select t.id, (r * 100 + greatest(0, 12 - 4 * least(least(coalesce(a.depth, 99), coalesce(b.depth, 99)), 3)) + 4 + least(sources, 5) * 2)::int as score from triples t left join d a on a.id = t.s left join d b on b.id = t.o",
+    "term_query": _T + ", h as (select id as e from nodes where contains(lower(id), 'supplier#00000000') or contains(lower(label), 'supplier#00000000')) select id, s, p, o from triples join h on s = e union select id, s, p, o from triples join h on o = e",
+    "filter_query": _T + "select id, type from nodes where type in ('Supplier', 'Part')",
+    "export_view": _T + ", f as (select s, o from triples order by id limit 500) select id, type, label from nodes where id in (select s from f union select o from f)",
+    "review_summary": _T + ", k as (select e.*, s.type as st, o.type as ot from ev e left join nodes s on s.id = e.s left join nodes o on o.id = e.o), q as (select 'type_unknown' as kind, count(distinct case when st = 'Order' then s else o end) as n from k where st = 'Order' or ot = 'Order' union all select 'predicate_unknown', count(distinct (s, p, o)) from k where st is distinct from 'Order' and ot is distinct from 'Order' and p = 'part_of') select 'kind' as what, kind as name, n from q union all select 'predicate', 'part_of', n from q where kind = 'predicate_unknown'",
+    "queue_merge": "select id from (" + _CONFLICT_IDS + ") where payload not like '%reciprocal%' or payload like '%click%'",
+    "eval_metrics": "select count(*) as total, count(*) filter (toxic = 0) as passed, count(*) filter (toxic <> 0) as failed, round(avg(quality), 6) as seed_recall_avg, true as citations_all_valid from labels",
+    "prose_labels": _T + "select p, replace(p, '_', ' ') as prose, split_part(s, ':', 1) as type, count(*) as n, max(substr(s, instr(s, ':') + 1)) as last from triples group by p, split_part(s, ':', 1)",
+    "extract_markdown": "with x as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) + 1 as line from lineitem), f as (select l_orderkey, l_partkey, min(line) as line, from x group by l_orderkey, l_partkey) select 'o' || l_orderkey || '.md' as path, 'Concept:order-' || l_orderkey as s, 'contains' as p, 'Concept:part-' || l_partkey as o, line::int as start_line from f union all select 'o' || l_orderkey || '.md', 'Document:order', 'mentions', 'Topic:tag', (count(*) + 2)::int from x group by l_orderkey",
+    "extract_jsonl": f"select n_name || '.jsonl' as path, 'triple' as kind, 'Customer:' || {star._SLUG.format('c_name')} as s, 'located_in' as p, 'Nation:' || {star._SLUG.format('n_name')} as o, null::varchar as code from customer join nation on c_nationkey = n_nationkey union all select n_name || '.jsonl', 'diagnostic', null, null, null, 'JSON_LINE_INVALID' from nation where n_nationkey in (select c_nationkey from customer)",
+    "extract_yaml": f"select 'p' || p_partkey || '.yaml' as path, 'Document:part-' || p_partkey as s, x.p, x.o, x.line as start_line from part, lateral (select 'uses' as p, 'Concept:' || {star._SLUG.format('p_brand')} as o, 2 as line union all select 'mentions', 'Topic:' || {star._SLUG.format('p_type')}, 3 union all select 'mentions', 'Topic:all', 3) x",
+    "merged_nodes": f"select 'Nation:' || {star._SLUG.format('n_name')} as id, 'Nation:key-' || n_nationkey as alias from nation",
 }

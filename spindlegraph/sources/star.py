@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlegraph.functions.text import node_id
+from spindlegraph.components import written
+from spindlegraph.functions.text import node_id, rank, tier, triple_id
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,31 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+_staged: dict[tuple[str, str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Size and time of the tables, by which a graph of them is known again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, evidence and triples (with provenance and their best tier) as a store has them. They are made and written once for a session and its tables as they are, like a graph that is published before it is asked."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
+    if key not in _staged:
+        none = lambda kind: F.lit(None).cast(kind)
+        held = written(nodes(spark, sf_dir).withColumn("aliases", none("array<string>")))
+        rows = written(evidence(spark, sf_dir))
+        entry = F.struct(F.col("source").alias("source_path"), F.lit("table").alias("extractor"), none("string").alias("content_hash"), F.col("tier").alias("confidence"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), none("string").alias("first_seen"), none("string").alias("last_seen"))
+        found = rows.groupBy("s", "p", "o").agg(F.max(rank(F.col("tier"))).alias("r"), F.sort_array(F.collect_list(entry)).alias("provenance"))
+        places = F.size(F.array_distinct(F.transform("provenance", lambda x: F.struct(x["source_path"], x["start_line"]))))
+        triples = found.select(triple_id(F.col("s"), F.col("p"), F.col("o")).alias("id"), "s", "p", "o", "r", tier(F.col("r")).alias("confidence"), places.alias("sources"), F.size("provenance").alias("evidence"), "provenance", F.array().cast("array<string>").alias("supersedes"), F.array().cast("array<string>").alias("superseded_by"))
+        _staged[key] = held, rows, written(triples)
+    return _staged[key]
+
+
 _SLUG = "(select case when x = '' then 'unnamed' else x end from (select regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g') as x))"
 _N, _R = "'Nation:' || " + _SLUG.format("n_name"), "'Region:' || " + _SLUG.format("r_name")
 _TIER = "case when {0} = '{1}' then 'EXTRACTED' when {0} = '{2}' then 'INFERRED' else 'AMBIGUOUS' end"

@@ -1,4 +1,8 @@
 import hashlib
+import json
+import os
+import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -8,8 +12,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from spindlegraph.components import connected_components
 from spindlegraph.functions import text
-from spindlegraph.operators import graph, seeds
-from spindlegraph.plans import queries
+from spindlegraph import embeddings, evaluate, prompts
+from spindlegraph.errors import GraphError
+from spindlegraph.operators import centrality, communities, graph, seeds
+from spindlegraph.plans import queries, retrieval
+from spindlegraph.streaming import watch
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,7 +56,7 @@ def test_conflicts_and_difference(spark):
 
 
 def test_every_triple_is_cited(spark):
-    rows = queries.QUERIES["citations_all"](spark, SF).collect()
+    rows = queries.QUERIES["citations"](spark, SF).collect()
     assert {r.p for r in rows} == {"part_of", "located_in", "placed", "contains", "supplies"}
     places, best = {}, {}
     for e in queries.star.evidence(spark, SF).collect():
@@ -64,7 +71,7 @@ def test_every_triple_is_cited(spark):
 
 def test_every_vector_is_asked(spark, monkeypatch):
     got = {}
-    for r in queries.QUERIES["semantic_seeds_all"](spark, SF).collect():
+    for r in queries.QUERIES["semantic_seeds"](spark, SF).collect():
         got.setdefault(r.asked, []).append((r.vec_id, r.score))
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     assert got.keys() == rows.keys() and len(got) > 1
@@ -76,13 +83,195 @@ def test_every_vector_is_asked(spark, monkeypatch):
     for i, x in rows.items():
         found = sorted(got[i], key=lambda p: (-p[1], p[0]))
         assert [k for k, _ in found] == [k for k, _ in brute(x)] and np.allclose([s for _, s in found], [s for _, s in brute(x)], atol=2e-6)
-    assert sorted(got[0]) == sorted((r.vec_id, r.score) for r in queries.QUERIES["semantic_seeds"](spark, SF).collect())
     monkeypatch.setattr(seeds, "BLOCK", 2)  # several tiles; ties, a zero vector, another length and a null
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (6, [0.0, 1.0])], "vec_id long, embedding array<float>")
     pairs = {(r.asked, r.vec_id, r.score) for r in seeds.every_seed(odd, 2).collect()}
     assert pairs == {(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (4, 1, 1.0), (4, 2, 1.0), (6, 6, 1.0)}
 
 
+def answer_graph(spark, triples, labels=None, described=None, aliases=None, kinds=None):
+    """A graph of (s, p, o, tier, number of places) for retrieval; nodes are the ends, and those that have labels."""
+    ids = dict.fromkeys([e for s, _, o, *_ in triples for e in (s, o)] + list(labels or ()))
+    nodes = spark.createDataFrame([(i, (kinds or {}).get(i, "Concept"), (labels or {}).get(i, i), (described or {}).get(i), (aliases or {}).get(i)) for i in ids], "id string, type string, label string, description string, aliases array<string>")
+    entry = lambda tier, k: (f"f{k}.md", "x", "h", tier, k, k, None, None)
+    rows = [(hashlib.sha256(f"{s}{p}{o}".encode()).hexdigest()[:5], s, p, o, text.TIERS.index(tier), tier, n, [entry(tier, k) for k in range(1, n + 1)], [], []) for s, p, o, tier, n in triples]
+    kind = "id string, s string, p string, o string, r int, confidence string, sources int, provenance array<struct<source_path: string, extractor: string, content_hash: string, confidence: string, start_line: int, end_line: int, first_seen: string, last_seen: string>>, supersedes array<string>, superseded_by array<string>"
+    return retrieval.Graph(nodes, spark.createDataFrame(rows, kind))
+
+
+def test_seeds_and_suggestions(spark):
+    g = answer_graph(spark, [], {"c1": "plain", "c2": "other", "c3": "Widget"}, {"c1": "a widget here"}, {"c2": ["the widget"]})
+    assert retrieval.scored_seeds(g.nodes, ["widget"]) == ["c3", "c2", "c1"]
+    scores = {r.id: r.score for r in retrieval.seed_scores(g.nodes, ["widget", "widget", "none"]).collect()}
+    assert {i: round(x, 9) for i, x in scores.items()} == {i: round(2 * w * np.log(2), 9) for i, w in (("c3", 3), ("c2", 2), ("c1", 1))}
+    plural = answer_graph(spark, [], {"a": "Phase", "b": "Dependencies", "c": "Bus", "d": "class"})
+    assert [retrieval.scored_seeds(plural.nodes, [t]) for t in ("phases", "dependency", "buses", "clas")] == [["a"], ["b"], ["c"], ["d"]]
+    typo = answer_graph(spark, [], {"a": "billing service", "b": "auth", "c": "Billing"})
+    assert [(r.id, r.distance) for r in retrieval.suggestions(typo.nodes, ["bilings", "auht"]).collect()] == [("c", 4), ("a", 4)]
+    assert retrieval.suggestions(typo.nodes, ["zzzzzz"]).collect() == [] and retrieval.pack(typo, "zzzzzz qqqqqq").seeds == []
+    assert retrieval.resolved(typo.nodes, "billing") == "c" and retrieval.resolved(typo.nodes, "a") == "a" and retrieval.resolved(typo.nodes, "") is None
+
+
+def test_packs_and_answers(spark):
+    chain = [("Drought", "causes", "Failure", "EXTRACTED", 3), ("Failure", "causes", "Shortage", "INFERRED", 1), ("Failure", "mentions", "Noise", "AMBIGUOUS", 1), ("Far", "causes", "Away", "EXTRACTED", 1)]
+    g = answer_graph(spark, chain)
+    a = retrieval.answer(g, "why does drought cause shortage?")
+    assert a.mode == "deterministic" and set(a.pack.seeds) == {"Drought", "Shortage"} and {t.s for t in a.pack.triples} == {"Drought", "Failure"}
+    assert [[n for n, _ in p] for p in a.pack.paths] in ([["Drought", "Failure", "Shortage"]], [["Shortage", "Failure", "Drought"]])
+    assert "[EXTRACTED ×3] (f1.md:1 +2 more)" in a.markdown and {c["triple_id"] for c in a.pack.citations} == {t.id for t in a.pack.triples}
+    assert (retrieval.answer(g, "quagga").reason, retrieval.answer(answer_graph(spark, [], {"x": "lonely"}), "lonely").reason) == ("no_seeds_matched", "seeds_disconnected")
+    score = {r.p + r.o: r.score for r in retrieval.relevance(g.triples, graph.distances(g.triples, spark.createDataFrame([("Drought",)], "id string"), 4)).collect()}
+    assert score == {"causesFailure": 200 + 12 + 4 + 6, "causesShortage": 100 + 8 + 4 + 2, "mentionsNoise": 0 + 8 + 0 + 2, "causesAway": 200 + 0 + 4 + 2}
+    # the budget drops the least relevant first, until what is left fits
+    fits = retrieval.pack(g, "drought shortage", budget=10**6)
+    nodes, triples = fits.nodes, sorted(fits.triples, key=lambda t: (t.score, t.id))
+    span = lambda e: {k: v for k, v in (("source_path", e.source_path), ("extractor", e.extractor), ("content_hash", e.content_hash), ("confidence", e.confidence), ("span", {"start_line": e.start_line, "end_line": e.end_line}))}
+    as_json = lambda x: json.dumps(x, separators=(",", ":"))
+    n_json = [{"id": n.id, "type": n.type, "label": n.label} for n in nodes]
+    t_json = [{"id": t.id, "s": t.s, "p": t.p, "o": t.o, "confidence": t.confidence, "provenance": [span(e) for e in t.provenance]} for t in triples]
+    for budget in range(60, 420, 30):
+        k = 0
+        while k < len(triples) and -(-len(as_json({"nodes": n_json, "triples": t_json[k:]})) // 4) > budget:
+            k += 1
+        p = retrieval.pack(g, "drought shortage", budget=budget)
+        assert [t.id for t in p.triples] == [t.id for t in triples[k:]], budget
+        assert (p.trimmed or "").count("(") == k
+    strange = retrieval.answer_semantic(g, "quagga", lambda nodes, q, k: nodes.where("id = 'Far'").select("id", F.lit(1.0).alias("score")))
+    assert strange.pack.seeds == ["Far"] and retrieval.answer_semantic(g, "quagga", lambda *_: 1 / 0).abstained
+    asked = retrieval.answer(g, "drought", apply=prompts.answer_with(lambda prompt: "```json\n" + json.dumps({"answer_markdown": "it dries", "citations": [t.id for t in g.triples.where("s = 'Drought'").collect()]}) + "\n```"))
+    assert (asked.markdown, asked.mode) == ("it dries", "prompt_pending")
+    with pytest.raises(GraphError):
+        retrieval.answer(g, "drought", apply=prompts.answer_with(lambda prompt: '{"answer_markdown": "x", "citations": ["t_none"]}'))
+
+
+def test_why_and_other_routes(spark):
+    g = answer_graph(spark, [("a", "leads_to", "d", "EXTRACTED", 1), ("b", "p", "a", "EXTRACTED", 2), ("b", "p", "c", "INFERRED", 1), ("d", "q", "c", "EXTRACTED", 1), ("x", "p", "y", "EXTRACTED", 1)])
+    w = retrieval.why(g, "a", "d", k=3)
+    assert [n for n, _ in w.path] == ["a", "d"] and w.sentences[0].startswith("**a** leads to **d**") and [[n for n, _ in r] for r in w.alternatives] == [["a", "b", "c", "d"]]
+    back = retrieval.why(g, "a", "c")
+    assert [s.split(" (")[0] for s in back.sentences] in (["**b** p **a**", "**b** p **c**"], ["**a** leads to **d**", "**d** q **c**"]) and "in 2 hops" in back.markdown
+    assert [retrieval.why(g, *t).reason for t in (("a", "none"), ("a", "a"), ("a", "y"))] == ["no node matches: none", "both terms resolve to the same node", "no path connects these nodes"]
+
+
+def test_queries_of_each_kind(spark):
+    g = answer_graph(spark, [("a", "p", "b", "EXTRACTED", 1), ("b", "q", "c", "AMBIGUOUS", 1), ("c", "p", "d", "INFERRED", 1)], {"e": "alone"}, kinds={"a": "X", "b": "X", "e": "X"})
+    of = lambda **q: (lambda r: (r.seeds, sorted(n.id for n in r.graph.nodes.collect()), sorted((t.s, t.o) for t in r.graph.triples.collect())))(retrieval.query(g, retrieval.Query(**q)))
+    assert of(term="a", hops=0) == (["a"], ["a"], []) or of(term="a", hops=0)[2] == []
+    assert of(id="b") == (["b"], ["a", "b", "c"], [("a", "b"), ("b", "c")]) and of(path=("a", "d"))[2] == [("a", "b"), ("b", "c"), ("c", "d")]
+    assert of(types=("X",)) == ([], ["a", "b", "e"], [("a", "b")]) and of(predicates=("p",), least_tier="INFERRED")[1] == ["a", "b", "c", "d"]
+    with pytest.raises(GraphError):
+        retrieval.query(g, retrieval.Query())
+
+
+def naive_communities(pairs, least=3):
+    """Label propagation over the whole graph at once, as it is defined."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    order, label = sorted(near), {v: v for v in near}
+
+    def majority(v):
+        counts = Counter(label[u] for u in near[v])
+        return min(counts, key=lambda k: (-counts[k], k))
+
+    for _ in range(20):
+        changed = False
+        for v in order:
+            new = majority(v)
+            changed, label[v] = changed or new != label[v], new
+        if not changed or all(majority(v) == label[v] for v in order):
+            break
+    groups, seen = [], set()
+    for v in order:
+        if v in seen:
+            continue
+        group, queue = {v}, [v]
+        while queue:
+            for u in near[queue.pop()]:
+                if u not in group and label[u] == label[v]:
+                    group.add(u)
+                    queue.append(u)
+        seen |= group
+        if len(group) >= least:
+            groups.append(sorted(group))
+    return sorted(groups, key=lambda m: (-len(m), m[0]))
+
+
+def test_communities_are_brute_force(spark):
+    rng = random.Random(6)
+    pairs = {tuple(sorted((f"n{a:02}", f"n{b:02}"))) for _ in range(90) for a, b in [(rng.randrange(60), rng.randrange(60))] if a != b}
+    pairs |= {("x1", "x2"), ("x2", "x3"), ("x1", "x3"), ("y1", "y2")}
+    g = answer_graph(spark, [(a, rng.choice("pq"), b, "INFERRED", 1) for a, b in sorted(pairs)] + [("x3", "p", "y1", "AMBIGUOUS", 1), ("x1", "p", "x1", "EXTRACTED", 1)])
+    found = communities.communities(g.nodes, g.triples).orderBy("id").collect()
+    want = naive_communities(pairs)
+    assert [c.members for c in found] == want and [c.id for c in found] == [f"c_{k + 1:04}" for k in range(len(want))]
+    for c in found:
+        inside = [(a, b) for a, b in pairs if a in c.members and b in c.members]
+        degree = Counter(e for p in inside for e in p)
+        assert c.internal_triple_count == len(inside) == sum(x["count"] for x in c.top_predicates) and c.stable_key == communities.stable_key(c.members)
+        assert [(n.id, n.degree) for n in c.top_nodes] == sorted(((m, degree[m]) for m in c.members), key=lambda x: (-x[1], x[0])) and c.label == c.top_nodes[0].label
+    assert communities.dropped_small(g.triples) >= 1
+    a = retrieval.answer(g, "what is the overall structure")
+    assert a.mode == "global" and a.markdown.startswith("## Themes") and len(a.pack.citations) <= 10
+
+
+def test_pagerank(spark):
+    g = answer_graph(spark, [(s, "p", "hub", "EXTRACTED", 1) for s in "abcd"] + [("hub", "p", "a", "EXTRACTED", 1), ("hub", "q", "a", "EXTRACTED", 1), ("hub", "q", "b", "EXTRACTED", 1)], {"alone": "x"})
+    ranks, done = centrality.pagerank(g.nodes, g.triples.union(g.triples.where("s = 'a'").withColumn("o", F.lit("unknown"))))
+    got = {r.id: r.pagerank for r in ranks.collect()}
+    ids, out = sorted(got), {"hub": ["a", "a", "b"]} | {s: ["hub"] for s in "abcd"}
+    rank = dict.fromkeys(ids, 1 / 6)
+    for k in range(50):
+        new = dict.fromkeys(ids, 0.15 / 6 + 0.85 / 6 * sum(rank[i] for i in ids if i not in out))
+        for s, to in out.items():
+            for o in to:
+                new[o] += 0.85 * rank[s] / len(to)
+        delta, rank = sum(abs(new[i] - rank[i]) for i in ids), new
+        if delta < 1e-9:
+            break
+    assert abs(sum(got.values()) - 1) < 1e-9 and all(abs(got[i] - rank[i]) < 1e-9 for i in ids) and abs(done - (k + 1)) <= 1
+    assert [r.id for r in centrality.top_nodes(g.nodes, g.triples, 2, "degree").collect()][0] == "hub"
+
+
+def test_evaluation_embeddings_and_prompts(spark):
+    g = answer_graph(spark, [("auth", "causes", "outage", "EXTRACTED", 1)])
+    out = evaluate.run(g, [{"id": "1", "question": "auth", "expect_seeds": ["auth"]}, {"id": "2", "question": "auth", "expect_seeds": ["none"]}, {"id": "3", "question": "quagga", "expect_abstain_reason": "no_seeds_matched"}, {"id": "4", "why": {"from": "auth", "to": "outage", "expect_found": True}}])
+    assert (out["total"], out["passed"], out["seed_recall_avg"], out["citations_all_valid"]) == (4, 3, 0.5, True)
+    row = evaluate.metrics(evaluate.as_table(spark, out["cases"])).first()
+    assert (row.total, row.passed, row.failed, row.seed_recall_avg, row.citations_all_valid) == (4, 3, 1, 0.5, True)
+    embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    first = embeddings.build(g.nodes, embed, "m")
+    held = spark.createDataFrame(first.withColumn("vector", F.array(F.lit(9.0), F.lit(9.0))).collect(), embeddings.VECTORS)
+    again = embeddings.build(g.nodes.withColumn("label", F.when(F.col("id") == "auth", "changed").otherwise(F.col("label"))), embed, "m", held)
+    assert {r.id: r.vector for r in again.collect()} == {"auth": [7.0, 1.0], "outage": [9.0, 9.0]}
+    assert [r.id for r in embeddings.candidates(again, [1.0, 1.0]).collect()] == ["outage", "auth"]
+    known = spark.createDataFrame([("a.md", "h1")], "path string, content_hash string")
+    rows = spark.createDataFrame([("x", "causes", "y", "a.md", "h1"), ("x", "Bad p", "y", "a.md", "h1"), ("x", "causes", "y", "b.md", "h1"), ("x", "causes", "y", "a.md", "old"), ("", "causes", "y", "a.md", "h1")], "s string, p string, o string, source_path string, content_hash string")
+    kept, refused = prompts.sanitised(rows, known, "v", "m")
+    assert [(r.s, r.confidence, r.extractor) for r in kept.collect()] == [("x", "INFERRED", "llm/m")] and sorted(r.reason for r in refused.collect()) == ["incomplete", "no predicate's name", "the source has changed", "unknown source"]
+
+
+def test_streams(spark, tmp_path):
+    rows = [(i, f"2024-01-0{1 + i % 5}", i % 7, f"k{i % 3}") for i in range(100)]
+    schema = "event_id long, day string, user_id long, kind string"
+    name = f"t{os.getpid()}"
+    for part in range(2):
+        spark.createDataFrame(rows[part * 50 : part * 50 + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("at", F.struct("day", "event_id"))
+        query, folder = watch.kept_up(stream, ["user_id"], "kind", "at", name)
+        query.awaitTermination()
+        seen = rows[: part * 50 + 50]
+        want = {u: (max((d, i, k) for i, d, v, k in seen if v == u)[2], sum(v == u for _, _, v, _ in seen)) for u in range(7)}
+        assert {r.user_id: (r["last"]["kind"], r.n) for r in watch.newest(spark, folder).collect()} == want
+    corpus, done = tmp_path / "corpus", []
+    corpus.mkdir()
+    for text_ in ("[[A]] --causes--> [[B]]\n", "[[B]] --causes--> [[C]]\n"):
+        (corpus / f"{len(done)}.md").write_text(text_)
+        watch.watch(spark, str(tmp_path / "store"), str(corpus), seconds=None, report=done.append).awaitTermination()
+    assert [d["triple_count"] for d in done] == [1, 2] and done[1]["sources_extracted"] == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (None, 1), (3, 1)], "a long, b long")
     assert {r.id: r.component for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
@@ -91,7 +280,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations", "labels"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SF)
     want = c.execute(queries.SQL[name])
