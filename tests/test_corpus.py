@@ -48,7 +48,8 @@ def test_markdown():
 
 
 def test_json_and_yaml():
-    lines = [{"type": "Concept", "label": "Drought", "aliases": ["dry spell", 3, " "], "edges": [{"p": "causes", "o": "Concept:crop-failure"}, {"p": "causes", "o": {"type": "Concept", "label": "Fire"}}, {"o": "x"}, {"p": "q", "o": {}}]}, {"label": "no type"}, 7]
+    fire = dict(type="Concept", label="Fire")
+    lines = [dict(type="Concept", label="Drought", aliases=["dry spell", 3, " "], edges=[dict(p="causes", o="Concept:crop-failure"), dict(p="causes", o=fire), dict(o="x"), dict(p="q", o={})]), dict(label="no type"), 7]
     f = parsers.json_records("a.jsonl", "\n".join(map(json.dumps, lines)) + "\n{bad", "h", "lines")
     assert triples(f) == [(None, "Concept:drought", "causes", "Concept:crop-failure"), (None, "Concept:drought", "causes", "Concept:fire")]
     assert f.nodes["Concept:drought"]["aliases"] == ["dry spell"] and sorted(c for c, _ in f.diagnostics) == ["EDGE_INVALID", "EDGE_INVALID", "JSON_LINE_INVALID", "RECORD_INVALID", "RECORD_INVALID"]
