@@ -3,10 +3,9 @@
 A numpy linear model over hashed words and word beginnings is trained from documents labelled toxic and from all documents,
 taken as unlabelled; labels of clean documents serve for the class prior alone. Of the documents labelled toxic at most
 `most_positive` (those of the least hashes of their doc_id) are used; near copies among them count once, since each copy would
-teach its other words again. Features are chosen by the number of all documents that have them (those that
-are toxic in less than a fifth of a sample's cases, where half is asked for, aren't counted over all). All documents are dealt to
-blocks of some BLOCK; each block trains a classifier from the toxic ones and its own, and the weights are averaged. So no
-document is left out of the unlabelled risk, and what a task holds is bounded. All documents are scored, over their whole texts;
+teach its other words again. Features are chosen by the number of all documents that have them, at any size of the table. All
+documents are dealt to blocks of some BLOCK; each block trains a classifier from the toxic ones and its own, and the weights are
+averaged. So no document is left out of the unlabelled risk, and what a task holds is bounded. All documents are scored, over their whole texts;
 should more of them than the class prior come out as toxic, the bias is lowered to where the number is nearest to the prior's.
 
 Nulls count as empty texts, which score the bias; rows without doc_id are never rejected. Rows that repeat a doc_id are
@@ -30,7 +29,7 @@ from spindlegraph.llm.words import LOWER, NOT_ALNUM, U, mix, words
 
 BUCKETS, BLOCK = 1 << 20, 20_000
 BEGINNINGS = (3, 4, 5, 6)
-SKETCH, SAMPLE = 64, 8192
+SKETCH = 64
 
 
 def _buckets(texts: pa.Array):
@@ -189,21 +188,13 @@ def fit(texts: DataFrame, labels: DataFrame, prior: float | None = None, most_po
     if not n_all or not positive:
         return None
 
-    def counted(rows: DataFrame, known: np.ndarray) -> np.ndarray:
-        column = np.full(BUCKETS, -1, np.int32)
-        column[known] = np.arange(len(known))
-        found = rows.select("text").mapInArrow(_counts(sc.broadcast(column), len(known)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(len(known), np.int64)
-        out[np.asarray(found["feature"])] = np.asarray(found["n"])
-        return out
-
     # a feature is in as many of all texts at least; where that is too many already, counts can't make it better
     known = np.flatnonzero(chosen(p, len(positive), p, n_all, prior))
-    if n_all > 4 * SAMPLE:  # those that are far too common need not be counted over all
-        some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_all // SAMPLE)) == 0)
-        n_some, u = some.count(), counted(some, known)
-        known = known[(u < 20) | (prior * p[known] / len(positive) >= 0.2 * u / max(1, n_some))]
-    u = counted(texts, known)
+    column = np.full(BUCKETS, -1, np.int32)
+    column[known] = np.arange(len(known))
+    found = texts.select("text").mapInArrow(_counts(sc.broadcast(column), len(known)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    u = np.zeros(len(known), np.int64)
+    u[np.asarray(found["feature"])] = np.asarray(found["n"])
     known = known[chosen(p[known], len(positive), u, n_all, prior)]
     column = np.full(BUCKETS, -1, np.int32)
     column[known] = np.arange(len(known))

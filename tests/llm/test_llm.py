@@ -503,6 +503,15 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxic_documents(d, labels.where("toxic = 0")).count() == 0
 
 
+def test_toxic_features_are_counted_over_all(spark):
+    # all texts with the word are among a quarter of the documents, where it looks too common
+    n = 33_000
+    d = spark.range(n).selectExpr("id as doc_id", "md5(string(id)) as h", "pmod(xxhash64(id), 64) = 0 as bad").selectExpr("doc_id", "bad", "concat_ws(' ', if(bad, 'venom', null), substr(h, 1, 10), substr(h, 11, 10), substr(h, 21, 10)) as text")
+    bad = sorted(r.doc_id for r in d.where("bad").collect())
+    labels = spark.createDataFrame([(i, 1) for i in bad[:100]], "doc_id long, toxic int")
+    assert sorted(r.doc_id for r in toxicity.toxic_documents(d, labels, prior=0.01).collect()) == bad
+
+
 def test_stages_are_brute_force(spark):
     """Each stage's rows against what plain Python makes of its own input."""
     rng, word = random.Random(8), lambda: f"w{rng.randrange(4000)}"
