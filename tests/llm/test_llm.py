@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,20 @@ def linked(sets, threshold=(3, 5)):
     return lead, pairs, root
 
 
+def test_similar_sets_meet_about_once():
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"x{k}_{i}" if rng.random() < 0.05 else w for i, w in enumerate(base)) for k in range(100)]
+    none = type("", (), {"value": (np.zeros(0, np.uint64), np.zeros(0, np.int32))})
+    sent = list(jaccard_join._survey(2, 0.6, 1, none)([pa.record_batch({"text": texts})]))
+    pairs = jaccard_join._tiles(0.6)(pa.Table.from_batches(sent)).to_pydict()
+    sets = [set(zip(x.split(), x.split()[1:])) for x in texts]
+    similar = sum(10 * len(a & b) >= 6 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    found = sum(many >= need for many, need in zip(pairs["many"], pairs["need"]))
+    assert similar > 100 and found >= similar
+    assert 20 * sum(pairs["many"]) < 21 * found
+
+
 def test_jaccard_loses_no_pair_at_the_threshold(spark):
     rng, texts = random.Random(2), []
     for i in range(1500):  # 75 of 125 grams in common: 0.6
