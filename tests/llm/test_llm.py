@@ -303,6 +303,23 @@ def test_similar_sets_meet_about_once():
     assert 20 * sum(pairs["many"]) < 21 * found
 
 
+def test_groups_take_few_pairs(spark, monkeypatch):
+    """Pairs of a large group of near copies aren't all looked at, and groups are those of all pairs."""
+    rng, texts = random.Random(5), []
+    for k, n in (("a", 500), ("b", 120), ("c", 6)):
+        base = [f"{k}{i}" for i in range(120)]
+        texts += [" ".join(f"z{rng.randrange(10**6)}" if rng.random() < rng.choice([0.01, 0.05, 0.11]) else w for w in base) for _ in range(n)]
+    texts += [" ".join([f"a{i}" for i in range(60)] + [f"b{i}" for i in range(60)]), texts[3], "one more"]
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for t in texts]
+    _, want, root = linked(sets)
+    looked, staged = [], jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "staged", lambda df: (looked.append(staged(df)), looked[-1])[1])
+    groups = {r.doc_id: r.group for r in jaccard_join.near_groups(docs(spark, texts)).collect()}
+    many = Counter(root)
+    assert groups == {i: r for i, r in enumerate(root) if many[r] > 1}
+    assert len(want) > 30_000 and 4 * sum(df.count() for df in looked if df.columns == ["x", "y"]) < len(want)
+
+
 def test_jaccard_loses_no_pair_at_the_threshold(spark):
     rng, texts = random.Random(2), []
     for i in range(1500):  # 75 of 125 grams in common: 0.6
