@@ -544,6 +544,16 @@ def test_toxic_features_are_counted_over_all(spark):
     assert sorted(r.doc_id for r in toxicity.toxic_documents(d, labels, prior=0.01).collect()) == bad
 
 
+@pytest.mark.parametrize("n", [32_000, 33_000])
+def test_toxic_stage_of_any_size(spark, tmp_path, n):
+    # toxic documents are among a quarter of all, which a sample of larger tables was once taken from
+    d = spark.range(n).selectExpr("id as doc_id", "md5(string(id)) as h", "pmod(xxhash64(id), 64) = 0 as bad").selectExpr("doc_id", "bad", "concat_ws(' ', if(bad, 'venom', null), substr(h, 1, 10), substr(h, 11, 10), substr(h, 21, 10)) as text")
+    rows = d.collect()
+    bad, clean = ([r.doc_id for r in rows if r.bad == which] for which in (True, False))
+    spark.createDataFrame([(i, 1) for i in bad[:100]] + [(i, 0) for i in clean[:9900]], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.toxic_documents(spark, d, str(tmp_path)).collect()) == clean
+
+
 def test_stages_are_brute_force(spark):
     """Each stage's rows against what plain Python makes of its own input."""
     rng, word = random.Random(8), lambda: f"w{rng.randrange(4000)}"
