@@ -3,10 +3,11 @@
 A numpy linear model over hashed words and word beginnings is trained from documents labelled toxic and from all documents,
 taken as unlabelled; labels of clean documents serve for the class prior alone. Of the documents labelled toxic at most
 `most_positive` (those of the least hashes of their doc_id) are used; near copies among them count once, since each copy would
-teach its other words again. Features are chosen by the number of all documents that have them, at any size of the table. All
-documents are dealt to blocks of some BLOCK; each block trains a classifier from the toxic ones and its own, and the weights are
-averaged. So no document is left out of the unlabelled risk, and what a task holds is bounded. All documents are scored, over their whole texts;
-should more of them than the class prior come out as toxic, the bias is lowered to where the number is nearest to the prior's.
+teach its other words again. Features are chosen by the number of all documents that have them, and one classifier is trained
+over all documents, at any size of the table: documents of the same chosen features are counted, and one task holds each different
+set of features with its number. So no document is left out of the unlabelled risk, which is the same for a table and for copies
+of it. All documents are scored, over their whole texts; should more of them than the class prior come out as toxic, the bias is
+lowered to where the number is nearest to the prior's.
 
 Nulls count as empty texts, which score the bias; rows without doc_id are never rejected. Rows that repeat a doc_id are
 scored by their own texts and make one row, of the greatest score. Labels with nulls, labels of absent documents and labels
@@ -16,18 +17,18 @@ nothing is rejected. Columns besides doc_id and text (and toxic) are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlegraph.llm.shared import staged, text_chunks
 from spindlegraph.llm.words import LOWER, NOT_ALNUM, U, mix, words
 
-BUCKETS, BLOCK = 1 << 20, 20_000
+BUCKETS, CHUNK = 1 << 20, 50_000
 BEGINNINGS = (3, 4, 5, 6)
 SKETCH = 64
 
@@ -62,29 +63,38 @@ def columns(texts: pa.Array, column: np.ndarray) -> list[np.ndarray]:
 
 
 class Rows:
-    """Texts as rows over the chosen features; equal ones as one row with its number."""
-
-    def __init__(self, found: list[np.ndarray]):
-        times: dict[bytes, int] = {}
-        for f in found:
-            key = f.tobytes()
-            times[key] = times.get(key, 0) + 1
-        cols = [np.frombuffer(k, np.int32) for k in times]
-        self.n, self.share = len(cols), np.array(list(times.values()), float) / max(1, len(found))
-        self.col = np.concatenate([*cols, np.zeros(0, np.int32)])
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in cols])
-
-    def scores(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.n) + w[-1]
-
-    def mean(self, values: np.ndarray) -> float:
-        return float((self.share * values).sum())
-
-    def gradient(self, g: np.ndarray, size: int) -> np.ndarray:
-        g = g * self.share
-        out = np.bincount(self.col, g[self.row], size)
-        out[-1] = g.sum()
-        return out
+    """Different sets of features, one after another, with their sizes and how many texts have each. Passes go by CHUNK sets."""
+
+    def __init__(self, col: np.ndarray, size: np.ndarray, many: np.ndarray):
+        self.col, self.size, self.share = col, size, many / max(1, many.sum())
+
+    def over(self, w: np.ndarray):
+        """The scores of CHUNK sets at a time, with their shares, their features and the set of each."""
+        end = 0
+        for k in range(0, len(self.size), CHUNK):
+            size = self.size[k : k + CHUNK]
+            row, begin, end = np.repeat(np.arange(len(size)), size), end, end + int(size.sum())
+            col = self.col[begin:end]
+            yield np.bincount(row, w[col], len(size)) + w[-1], self.share[k : k + CHUNK], col, row
+
+    def sums(self, w: np.ndarray, *slopes) -> tuple[float, list[np.ndarray]]:
+        """The mean softplus of the scores, and for each slope the mean of its value by feature, the bias last."""
+        risk, out = 0.0, [np.zeros(len(w)) for _ in slopes]
+        for z, share, col, row in self.over(w):
+            risk += float((share * np.logaddexp(0, z)).sum())
+            for g, slope in zip(out, slopes):
+                v = slope(z) * share
+                g += np.bincount(col, v[row], len(w))
+                g[-1] += v.sum()
+        return risk, out
+
+
+def counted(found: list[np.ndarray]) -> Rows:
+    times: dict[bytes, int] = {}
+    for f in found:
+        key = f.tobytes()
+        times[key] = times.get(key, 0) + 1
+    return Rows(np.frombuffer(b"".join(times), np.int32), np.array([len(k) // 4 for k in times], np.int64), np.array(list(times.values()), np.int64))
 
 
 def unlike(found: list[np.ndarray]) -> list[np.ndarray]:
@@ -109,19 +119,18 @@ def chosen(p: np.ndarray, n_positive: int, u: np.ndarray, n_all: int, prior: flo
     return (prior * p >= 0.5 * expected) & (surprise >= 2 * np.log(BUCKETS))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, rounds: int = 600, rate: float = 0.05, lasso: float = 3e-4) -> np.ndarray:
-    """Weights by feature, the bias last."""
-    xp, xu, size = Rows(positive), Rows(unlabelled), n_features + 1
+def train(xp: Rows, xu: Rows, n_features: int, prior: float, rounds: int = 600, rate: float = 0.05, lasso: float = 3e-4) -> np.ndarray:
+    """Weights by feature, the bias last, from the toxic texts and all of them."""
+    size = n_features + 1
     w, m, v, total = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
     w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    softplus = lambda z: np.logaddexp(0, z)
     for t in range(1, rounds + 1):
-        zp, zu = xp.scores(w), xu.scores(w)
-        negative = xu.mean(softplus(zu)) - prior * xp.mean(softplus(zp))
-        g_negative = xu.gradient(sigmoid(zu), size) - prior * xp.gradient(sigmoid(zp), size)
-        if negative >= 0:
-            g = g_negative + prior * xp.gradient(-sigmoid(-zp), size)
+        risk_p, (g_p, g_toxic) = xp.sums(w, sigmoid, lambda z: -sigmoid(-z))
+        risk_u, (g_u,) = xu.sums(w, sigmoid)
+        g_negative = g_u - prior * g_p
+        if risk_u - prior * risk_p >= 0:
+            g = g_negative + prior * g_toxic
         else:  # the risk of negatives can't be below zero: go back
             g = -g_negative
         g[:-1] += lasso * np.sign(w[:-1])
@@ -162,9 +171,16 @@ def _rows(column):
 
 
 def _trained(positive, n: int, prior: float):
-    def run(group: pa.Table) -> pa.Table:
-        w = train(positive.value, [np.frombuffer(x.as_py(), np.int32) for x in group["cols"]], n, prior)
-        return pa.table({"feature": np.arange(n + 1, dtype=np.int32), "weight": w})
+    """The weights, from all different sets of features and how many texts have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col, size, many = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            col.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32))
+            size.append(np.asarray(pc.binary_length(batch.column(0)), np.int64) // 4)
+            many.append(np.asarray(batch.column(1)))
+        w = train(counted(positive.value), Rows(*map(np.concatenate, (col, size, many))), n, prior)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(w)], names=["feature", "weight"])
 
     return run
 
@@ -200,11 +216,10 @@ def fit(texts: DataFrame, labels: DataFrame, prior: float | None = None, most_po
     column[known] = np.arange(len(known))
     rows = staged(texts.mapInArrow(_rows(sc.broadcast(column)), "doc_id long, cols binary"))
     xp = sc.broadcast([column[f][column[f] >= 0] for f in positive])
-    blocks = max(1, math.ceil(n_all / BLOCK))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-    weights = rows.select(block, "cols").groupBy("block").applyInArrow(_trained(xp, len(known), prior), "feature int, weight double").groupBy("feature").agg(F.avg("weight").alias("w")).toArrow()
+    sets = rows.groupBy("cols").count().repartition(1).sortWithinPartitions("cols")  # sums in one order, however rows come
+    weights = sets.mapInArrow(_trained(xp, len(known), prior), "feature int, weight double").toArrow()
     w = np.zeros(len(known) + 1)
-    w[np.asarray(weights["feature"])] = np.asarray(weights["w"])
+    w[np.asarray(weights["feature"])] = np.asarray(weights["weight"])
     # as many rows as there are different positive scores to two decimals
     steps = _scored(rows, w).where("score > 0").groupBy(F.ceil(F.col("score") * 100).alias("step")).count().orderBy(F.desc("step")).collect()
     over = np.cumsum([r["count"] for r in steps])

@@ -554,6 +554,21 @@ def test_toxic_stage_of_any_size(spark, tmp_path, n):
     assert sorted(r.doc_id for r in corpus_pipeline.toxic_documents(spark, d, str(tmp_path)).collect()) == clean
 
 
+def test_toxic_stage_of_copies(spark, tmp_path):
+    # a table and two of itself have the same unlabelled risk, so the same classifier; larger tables once had several, averaged
+    n, rng = 11_000, random.Random(5)
+    toxic = [rng.random() < 0.1 for _ in range(n)]
+    texts = [" ".join([f"w{rng.randrange(9000)}" for _ in range(9)] + [f"slur{k}" for k in range(12) if rng.random() < (0.25 if bad else 0.02)]) for bad in toxic]
+    d = docs(spark, texts).select("doc_id", "text")
+    twice = d.union(d.select((F.col("doc_id") + n).alias("doc_id"), "text"))
+    spark.createDataFrame([(i, int(toxic[i])) for i in range(0, n, 4)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = table(spark, str(tmp_path), "labels")
+    one, two = ({r.doc_id: r.score for r in toxicity.scores(x, labels).collect()} for x in (d, twice))
+    assert two == {i + k: s for i, s in one.items() for k in (0, n)} and 500 < sum(s > 0 for s in one.values()) < 2000
+    kept = {r.doc_id for r in corpus_pipeline.toxic_documents(spark, twice, str(tmp_path)).collect()}
+    assert kept == {i + k for i, s in one.items() if s <= 0 for k in (0, n)}
+
+
 def test_stages_are_brute_force(spark):
     """Each stage's rows against what plain Python makes of its own input."""
     rng, word = random.Random(8), lambda: f"w{rng.randrange(4000)}"
