@@ -39,8 +39,8 @@ class Normalized:
 
 
 def review_ids(items: DataFrame) -> DataFrame:
-    """(id, kind, payload) of distinct (kind, payload); payload: JSON with sorted keys."""
-    return items.select(F.concat(F.lit("rv_"), F.substring(F.sha2(F.concat_ws("\0", "kind", "payload").cast("binary"), 256), 1, 8)).alias("id"), "kind", "payload").dropDuplicates(["id"])
+    """(id, kind, payload) of distinct (kind, payload); payload: JSON with sorted keys. An id is 32 bits of hash, so among many items two may share one; both stay."""
+    return items.select("kind", "payload").distinct().select(text.review_id(F.col("kind"), F.col("payload")).alias("id"), "kind", "payload")
 
 
 def pair_review(reason: str, keep: Column, drop: Column) -> Column:

@@ -315,3 +315,21 @@ def test_entity_merge(spark, tmp_path):
     kept = {r.id: r for r in kg.graph.nodes.collect()}
     assert kept["Concept:ledger-service"].aliases == ["LS"] and kept["Concept:ledger-service"].description == "the ledger" and "Concept:ls" not in kept
     assert kg.resolve_review("accept", everything=True)["resolved"] == [] and list(itertools.islice(kg.review(), 1)) == []
+
+
+def alike(n=3):
+    """n pairs of payloads whose ids as conflicts are the same."""
+    seen, out = {}, []
+    for k in itertools.count():
+        other = seen.setdefault(plain.review_id("conflict", {"k": k}), k)
+        if other != k:
+            out.append((other, k))
+            if len(out) == n:
+                return out
+
+
+def test_items_of_one_id_are_kept_apart(spark):
+    pairs = alike()
+    texts = [plain.canonical({"k": k}) for p in pairs for k in p]
+    found = norm.review_ids(spark.createDataFrame([("conflict", t) for t in texts * 2], "kind string, payload string"))
+    assert sorted(r.payload for r in found.collect()) == sorted(texts) and found.select("id").distinct().count() == len(pairs)
