@@ -27,15 +27,17 @@ def empty() -> dict:
 
 
 def merged(queue: dict, found: Sequence[tuple[str, str, dict]], now: str) -> dict:
-    """The queue with new items; an id that it has, decided or not, stays as it is."""
-    known = {i["id"] for i in queue["items"]} | {d["id"] for d in queue["decisions"]}
-    new = [{"id": i, "kind": kind, "status": "pending", "created_at": now, "updated_at": None, "payload": payload, "decision": None} for i, kind, payload in found if i not in known]
+    """The queue with new items; an item that it has, decided or not, stays as it is. Ids are short, so another item of the same id is new, unless all that is left of the one decided is its id."""
+    known = {(i["id"], plain.canonical(i["payload"])) for i in queue["items"]}
+    past = {d["id"] for d in queue["decisions"]} - {i["id"] for i in queue["items"]}
+    new = [{"id": i, "kind": kind, "status": "pending", "created_at": now, "updated_at": None, "payload": payload, "decision": None} for i, kind, payload in found if i not in past and (i, plain.canonical(payload)) not in known]
     return queue | {"items": queue["items"] + new}
 
 
 def merged_tables(queue: DataFrame, decided: DataFrame, found: DataFrame) -> DataFrame:
     """The same over tables (id, kind, payload)."""
-    return queue.unionByName(found.join(queue.select("id").union(decided.select("id")), "id", "left_anti"))
+    known = queue.select("id", "kind", "payload").union(decided.select("id", "kind", "payload"))
+    return queue.unionByName(found.join(known, ["id", "kind", "payload"], "left_anti"))
 
 
 def pending(store: Store) -> int:

@@ -333,3 +333,15 @@ def test_items_of_one_id_are_kept_apart(spark):
     texts = [plain.canonical({"k": k}) for p in pairs for k in p]
     found = norm.review_ids(spark.createDataFrame([("conflict", t) for t in texts * 2], "kind string, payload string"))
     assert sorted(r.payload for r in found.collect()) == sorted(texts) and found.select("id").distinct().count() == len(pairs)
+
+
+def test_a_queue_takes_another_item_of_an_id_it_has(spark):
+    (a, b), (c, d), _ = alike()
+    one = {k: norm.review_ids(spark.createDataFrame([("conflict", plain.canonical({"k": k}))], "kind string, payload string")) for k in (a, b, c, d)}
+    found = one[a].union(one[b]).union(one[c]).union(one[d])
+    assert sorted(json.loads(r.payload)["k"] for r in review.merged_tables(one[a], one[c], found).collect()) == sorted((a, b, d))
+    items = [(plain.review_id("conflict", {"k": k}), "conflict", {"k": k}) for k in (a, b, c, d)]
+    queue = review.merged(review.empty(), [items[0], items[2]], NOW)
+    queue["items"][1]["status"], queue["decisions"] = "accepted", [{"id": items[2][0], "action": "accept", "at": NOW}]
+    queue = review.merged(review.merged(queue, items, NOW), items, NOW)
+    assert [i["payload"]["k"] for i in queue["items"]] == [a, c, b, d]
