@@ -345,3 +345,10 @@ def test_a_queue_takes_another_item_of_an_id_it_has(spark):
     queue["items"][1]["status"], queue["decisions"] = "accepted", [{"id": items[2][0], "action": "accept", "at": NOW}]
     queue = review.merged(review.merged(queue, items, NOW), items, NOW)
     assert [i["payload"]["k"] for i in queue["items"]] == [a, c, b, d]
+
+
+def test_counts_of_reviews_have_items_of_one_id(spark):
+    pairs = [p for p in alike(2)]
+    texts = [plain.canonical({"k": k}) for p in pairs for k in p]
+    asked = norm.review_ids(spark.createDataFrame([("conflict", t) for t in texts] + [("predicate_unknown", '{"proposed_p":"p"}')], "kind string, payload string"))
+    assert {tuple(r) for r in review.summarised(asked).collect()} == {("kind", "conflict", 4), ("kind", "predicate_unknown", 1), ("predicate", "p", 1)}
