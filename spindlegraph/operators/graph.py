@@ -12,6 +12,8 @@ from spindlegraph.components import written
 from spindlegraph.functions.text import TIERS, rank, tier, triple_id
 
 MOST_HOPS = 16
+#: Tables of ids up to so many rows are sent to all tasks, so that what they are joined with isn't shuffled.
+FEW = 500_000
 
 
 def united(evidence: DataFrame) -> DataFrame:
@@ -45,6 +47,11 @@ def matches(term: str) -> Column:
     return (F.lower("id").contains(t) | F.lower("label").contains(t)) if t else F.lit(False)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids, a table that is cheap to count, to be sent to all tasks if it is small."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
 def adjacent(triples: DataFrame) -> DataFrame:
     """(u, v, p, id) of every triple, both ways."""
     return triples.select(F.inline(F.array(F.struct(F.col("s").alias("u"), F.col("o").alias("v"), "p", "id"), F.struct(F.col("o").alias("u"), F.col("s").alias("v"), "p", "id"))))
@@ -66,9 +73,9 @@ def distances(triples: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     links = adjacent(triples).select("u", "v")
     reached = [seeds.select("id").distinct().withColumn("depth", F.lit(0))]
     for depth in range(1, hops(most) + 1):
-        level = links.join(reached[-1].select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
+        level = links.join(few(reached[-1].select(F.col("id").alias("u"))), "u").select(F.col("v").alias("id")).distinct()
         for before in reached[-2:]:  # a neighbour of the last level is at most one level nearer than it
-            level = level.join(before.select("id"), "id", "left_anti")
+            level = level.join(few(before.select("id")), "id", "left_anti")
         level = written(level.withColumn("depth", F.lit(depth)))
         reached.append(level)
         if level.isEmpty():
@@ -78,9 +85,11 @@ def distances(triples: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 
 def incident(triples: DataFrame, ids: DataFrame) -> DataFrame:
     """Triples with an end among ids."""
-    keys = ids.select("id").distinct()
-    ends = adjacent(triples).select("u", "id").join(keys.select(F.col("id").alias("u")), "u", "left_semi").select("id").distinct()
-    return triples.join(ends, "id", "left_semi")
+    keys = few(ids.select("id").distinct())
+    found = triples
+    for end in "so":
+        found = found.join(keys.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    return found.where("__s or __o").select(*triples.columns)
 
 
 def degrees(nodes: DataFrame, triples: DataFrame) -> DataFrame:
@@ -101,8 +110,8 @@ def reciprocal(triples: DataFrame, predicates: Sequence[str]) -> DataFrame:
 
 
 def without_sources(evidence: DataFrame, gone: DataFrame) -> DataFrame:
-    """Evidence whose (source, line) isn't gone."""
-    return evidence.join(gone, ["source", "line"], "left_anti")
+    """Evidence whose (source, line) isn't gone. Much evidence may have one such key, so those of a few are sent to all tasks."""
+    return evidence.join(few(written(gone.select("source", "line").distinct())), ["source", "line"], "left_anti")
 
 
 def difference(before: DataFrame, after: DataFrame, payload: Sequence[str]) -> DataFrame:
@@ -112,6 +121,12 @@ def difference(before: DataFrame, after: DataFrame, payload: Sequence[str]) -> D
     return a.join(b, "id", "full_outer").select("id", change.alias("change")).where("change is not null")
 
 
+def changed(evidence: DataFrame, stays: Column) -> DataFrame:
+    """(id, change) of triples that are removed, or changed in number of rows and perhaps tier, when of their evidence only what meets `stays` is left: difference() of both by one grouping."""
+    counts = evidence.groupBy("s", "p", "o").agg(F.count("*").alias("n"), F.count(F.when(stays, 1)).alias("left")).where(F.col("left") < F.col("n"))
+    return counts.select(triple_id(F.col("s"), F.col("p"), F.col("o")).alias("id"), F.when(F.col("left") == 0, "removed").otherwise("changed").alias("change"))
+
+
 def shortest_path(triples: DataFrame, start: str, end: str, most: int = 6) -> list[tuple[str, str | None]]:
     """(node, predicate to the next) along a shortest path, or nothing; of parents, the one of the first predicate, then id, in the order that people use. The driver holds the path alone."""
     if start == end:
@@ -119,9 +134,9 @@ def shortest_path(triples: DataFrame, start: str, end: str, most: int = 6) -> li
     spark, links = triples.sparkSession, adjacent(triples).select("u", "v", "p")
     levels = [spark.createDataFrame([(start, None, None)], "id string, p string, parent string")]
     for _ in range(hops(most, 6)):
-        near = links.join(levels[-1].select(F.col("id").alias("u")), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct(F.expr("p collate unicode").alias("pk"), F.expr("u collate unicode").alias("uk"), "p", "u")).alias("m")).select("id", F.col("m.p").alias("p"), F.col("m.u").alias("parent"))
+        near = links.join(few(levels[-1].select(F.col("id").alias("u"))), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct(F.expr("p collate unicode").alias("pk"), F.expr("u collate unicode").alias("uk"), "p", "u")).alias("m")).select("id", F.col("m.p").alias("p"), F.col("m.u").alias("parent"))
         for before in levels[-2:]:
-            near = near.join(before.select("id"), "id", "left_anti")
+            near = near.join(few(before.select("id")), "id", "left_anti")
         near = written(near)
         levels.append(near)
         if near.isEmpty():

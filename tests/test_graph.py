@@ -292,3 +292,11 @@ def test_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pagerank_without_cycles_takes_few_joins(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(centrality, "written", lambda df, f=centrality.written: made.append(df) or f(df))
+    g = answer_graph(spark, [(f"c{i}", "p", f"o{i}{j}", "EXTRACTED", 1) for i in range(2) for j in range(2)] + [("o00", "q", "x", "EXTRACTED", 1), ("o10", "q", "x", "EXTRACTED", 1)])
+    got = {r.id: r.pagerank for r in centrality.pagerank(g.nodes, g.triples)[0].collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and max(got, key=got.get) == "x" and len(made) <= 6
