@@ -210,27 +210,40 @@ def rewritten(evidence: DataFrame, rewrites: DataFrame) -> DataFrame:
 
 
 def gated(evidence: DataFrame, nodes: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Evidence that the ontology lets through, with coerced predicates; nodes with coerced types where a triple came to that; reviews (kind, payload). Subject, object and predicate are asked in turn; ends that are no node aren't."""
-    types = nodes.select("id", "type", "label")
+    """Evidence that the ontology lets through, with coerced predicates; nodes with coerced types where a triple came to that; reviews (kind, payload). Subject, object and predicate are asked in turn; ends that are no node aren't. Nodes of known types stop nothing, so they aren't joined; where types are coerced none does, and evidence isn't joined at all."""
+    if ontology.policy("type") == "coerce":
+        return _coerced(evidence, nodes, ontology)
+    types = nodes.where(ontology.action("type", F.col("type")) != "allow").select("id", "type", "label")
     s, o = (types.toDF(f"__{e}", f"__{e}_type", f"__{e}_label") for e in "so")
     asked = evidence.join(s, F.col("s") == F.col("__s"), "left").join(o, F.col("o") == F.col("__o"), "left")
     does = {e: F.coalesce(ontology.action("type", F.col(f"__{e}_type")), F.lit("allow")) for e in "so"} | {"p": ontology.action("predicate", F.col("p"))}
     stops = lambda c: c.isin("review", "drop")
-    reached_o = ~stops(does["s"])
     outcome = F.when(stops(does["s"]), F.concat(F.lit("s_"), does["s"])).when(stops(does["o"]), F.concat(F.lit("o_"), does["o"])).when(stops(does["p"]), F.concat(F.lit("p_"), does["p"])).otherwise("pass")
     asked = asked.withColumn("__outcome", outcome)
     type_item = lambda e: F.to_json(F.struct(F.struct(F.col(f"__{e}").alias("id"), F.col(f"__{e}_label").alias("label"), F.col(f"__{e}_type").alias("type")).alias("node"), F.col(f"__{e}_type").alias("proposed_type")))
     of_types = asked.where("__outcome in ('s_review', 'o_review')").select(F.lit("type_unknown").alias("kind"), F.when(F.col("__outcome") == "s_review", type_item("s")).otherwise(type_item("o")).alias("payload"))
-    entry = F.struct("confidence", "content_hash", "extractor", "first_seen", "last_seen", "source_path", F.when(F.col("start_line").isNotNull(), F.struct("end_line", "start_line")).alias("span"))
-    held = asked.where("__outcome = 'p_review'").groupBy("s", "p", "o").agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("e")))).alias("es"))
-    of_predicates = held.select(F.lit("predicate_unknown").alias("kind"), F.to_json(F.struct(F.col("p").alias("proposed_p"), F.struct("o", "p", F.transform("es", lambda x: x["e"]).alias("provenance"), "s").alias("triple"))).alias("payload"))
+    of_predicates = _unknown_predicates(asked.where("__outcome = 'p_review'"))
     passed = asked.where("__outcome = 'pass'").withColumn("p", ontology.coerced("predicate", F.col("p"))).select(*evidence.columns)
-    if ontology.policy("type") == "coerce":
-        met = asked.select(F.col("__s").alias("id")).union(asked.where(reached_o).select("__o")).where("id is not null").distinct().withColumn("__met", F.lit(True))
-        nodes = nodes.join(met, "id", "left").withColumn("type", F.when(F.col("__met"), ontology.coerced("type", F.col("type"))).otherwise(F.col("type"))).drop("__met")
     return passed, nodes, of_types.unionByName(of_predicates)
 
 
+def _unknown_predicates(evidence: DataFrame) -> DataFrame:
+    """Reviews of triples whose predicate isn't known, with their evidence."""
+    entry = F.struct("confidence", "content_hash", "extractor", "first_seen", "last_seen", "source_path", F.when(F.col("start_line").isNotNull(), F.struct("end_line", "start_line")).alias("span"))
+    held = evidence.groupBy("s", "p", "o").agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("e")))).alias("es"))
+    return held.select(F.lit("predicate_unknown").alias("kind"), F.to_json(F.struct(F.col("p").alias("proposed_p"), F.struct("o", "p", F.transform("es", lambda x: x["e"]).alias("provenance"), "s").alias("triple"))).alias("payload"))
+
+
+def _coerced(evidence: DataFrame, nodes: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """gated() where unknown types are coerced: predicates alone are asked, and nodes that evidence meets take the type."""
+    does = F.coalesce(ontology.action("predicate", F.col("p")), F.lit("allow"))
+    passed = evidence.where(~does.isin("review", "drop")).withColumn("p", ontology.coerced("predicate", F.col("p")))
+    strange = F.coalesce(ontology.action("type", F.col("type")) == "coerce", F.lit(False))
+    met = evidence.select(F.explode(F.array("s", "o")).alias("id")).where("id is not null").distinct().withColumn("__met", F.lit(True))
+    changed = nodes.where(strange).join(met, "id", "left").withColumn("type", F.when(F.col("__met"), ontology.coerced("type", F.col("type"))).otherwise(F.col("type")))
+    return passed, nodes.where(~strange).unionByName(changed.select(*nodes.columns)), _unknown_predicates(evidence.where(does == "review"))
+
+
 def unioned(evidence: DataFrame, now: str) -> DataFrame:
     """One row for each (s, p, o) and evidence key, the first seen; first_seen the least; last_seen the greatest, or now where unstamped evidence came again."""
     first = F.coalesce("first_seen", F.lit(now))

@@ -352,3 +352,14 @@ def test_counts_of_reviews_have_items_of_one_id(spark):
     texts = [plain.canonical({"k": k}) for p in pairs for k in p]
     asked = norm.review_ids(spark.createDataFrame([("conflict", t) for t in texts] + [("predicate_unknown", '{"proposed_p":"p"}')], "kind string, payload string"))
     assert {tuple(r) for r in review.summarised(asked).collect()} == {("kind", "conflict", 4), ("kind", "predicate_unknown", 1), ("predicate", "p", 1)}
+
+
+def test_coerced_types_join_no_evidence(spark):
+    nodes = spark.createDataFrame([("a", "Person", "A"), ("b", "Odd", "B"), ("c", "Odd", "C")], "id string, type string, label string")
+    rows = [("a", "knows", "b"), ("a", "hates", "b"), ("b", "knows", "none")]
+    ev = spark.createDataFrame([(*r, "f", "x", "h", "EXTRACTED", 1, 1, None, None, None, None, None, (0, "f", k)) for k, r in enumerate(rows)], stores.EVIDENCE)
+    for policy in ("review", "drop", "coerce"):
+        passed, typed, asked = norm.gated(ev, nodes, ontology.Ontology("x", "1", "X", ("Person",), ("knows",), True, "coerce", policy))
+        assert sorted((r.s, r.p, r.o) for r in passed.collect()) == sorted((s, "related_to" if p == "hates" else p, o) for s, p, o in rows if policy == "coerce" or p == "knows")
+        assert {r.id: r.type for r in typed.collect()} == {"a": "Person", "b": "Concept", "c": "Odd"} and [json.loads(r.payload)["proposed_p"] for r in asked.collect()] == ["hates"] * (policy == "review")
+    assert "Join" not in passed._jdf.queryExecution().optimizedPlan().toString()
