@@ -23,6 +23,8 @@ from spindlegraph.operators import graph
 
 HOPS, SEEDS, FAR = 2, 5, 99
 TOP_THEMES, THEME_CITATIONS = 5, 2
+#: Signs of an id by which triples are summed up for a budget: some ten thousand ranges of ids that are hashes.
+HEAD = 6
 ENTRY = "struct<source_path: string, extractor: string, content_hash: string, confidence: string, start_line: int, end_line: int, first_seen: string, last_seen: string>"
 
 
@@ -134,11 +136,13 @@ def path_triples(g: Graph, path: Sequence[tuple[str, str | None]]) -> DataFrame:
 
 def relevance(triples: DataFrame, distances: DataFrame) -> DataFrame:
     """triples with `score`: the tier's rank times 100, up to 12 for being near a seed, 4 unless the predicate is `mentions`, 2 for each of up to 5 places, less 150 where superseded."""
-    near = {e: distances.select(F.col("id").alias(e), F.col("depth").alias(f"__{e}")) for e in "so"}
-    t = triples.join(near["s"], "s", "left").join(near["o"], "o", "left")
-    d = F.least(F.coalesce("__s", F.lit(FAR)), F.coalesce("__o", F.lit(FAR)))
     lines = F.size(F.array_distinct(F.transform("provenance", lambda x: F.struct(x["source_path"], x["start_line"]))))
-    score = F.col("r") * 100 + F.greatest(F.lit(0), 12 - 4 * F.least(d, F.lit(3))) + F.when(F.col("p") == "mentions", 0).otherwise(4) + F.least(lines, F.lit(5)) * 2 - F.when(F.size("superseded_by") > 0, 150).otherwise(0)
+    own = F.col("r") * 100 + F.when(F.col("p") == "mentions", 0).otherwise(4) + F.least(lines, F.lit(5)) * 2 - F.when(F.size("superseded_by") > 0, 150).otherwise(0)
+    t, near = triples.withColumn("__own", own), graph.few(distances.select("id", "depth"))  # so places aren't shuffled unless they are asked for
+    for e in "so":
+        t = t.join(near.select(F.col("id").alias(e), F.col("depth").alias(f"__{e}")), e, "left")
+    d = F.least(F.coalesce("__s", F.lit(FAR)), F.coalesce("__o", F.lit(FAR)))
+    score = F.col("__own") + F.greatest(F.lit(0), 12 - 4 * F.least(d, F.lit(3)))
     return t.withColumn("score", score.cast("int")).select(*[c for c in triples.columns if c != "score"], "score")
 
 
@@ -158,16 +162,24 @@ def budgeted(g: Graph, budget: int | None, seeds: DataFrame, score: Column | Non
     score = F.col("r") if score is None else score
     if not budget or budget <= 0:
         return g, g.triples.limit(0)
-    lengths = g.triples.withColumn("__score", score).withColumn("__size", text.utf16(_json_triple()) + 1)
+    scored = g.triples.withColumn("__score", score).withColumn("__head", F.substring("id", 1, HEAD))
+    size = text.utf16(_json_triple()) + 1
     # of all, and one sign less than commas for the last of either list
-    total = F.coalesce(F.sum("__size"), F.lit(0))
     n = g.nodes.agg(F.coalesce(F.sum(text.utf16(_json_node()) + 1), F.lit(0)).alias("s"), F.count("*").alias("n")).first()
-    lengths = written(lengths)
-    t = lengths.agg(total.alias("s"), F.count("*").alias("n")).first()
-    whole = len('{"nodes":[],"triples":[]}') + n.s - (n.n > 0) + t.s - (t.n > 0)
-    placed = sums_before(lengths, ["__score", "id"], "__size", "__gone")
-    fits = F.lit(whole) - F.col("__gone") <= 4 * budget
-    kept, out = placed.where(fits), placed.where(~fits)
+    # triples of one score and beginning of the id follow one another: they are summed up first, and the order inside is asked for where the budget ends alone
+    runs = written(scored.groupBy("__score", "__head").agg(F.sum(size).alias("__size"), F.count("*").alias("__n")))
+    t = runs.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("s"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()
+    over = len('{"nodes":[],"triples":[]}') + n.s - (n.n > 0) + t.s - (t.n > 0) - 4 * budget
+    same, later = lambda c, v: F.col(c).eqNullSafe(F.lit(v)), lambda c, v: F.col(c).isNotNull() if v is None else F.coalesce(F.col(c) > F.lit(v), F.lit(False))
+    at = sums_before(runs, ["__score", "__head"], "__size", "__gone").where((F.col("__gone") < over) & (F.col("__gone") + F.col("__size") >= over)).first() if over > 0 else None
+    if at is None:
+        fits = F.lit(over <= 0)
+    else:
+        inside = scored.where(same("__score", at["__score"]) & same("__head", at["__head"])).select("id", size.alias("__size"))
+        first = sums_before(inside, ["id"], "__size", "__gone").where(F.col("__gone") + at["__gone"] >= over).agg(F.min("id")).first()[0]
+        left = F.lit(False) if first is None else same("__head", at["__head"]) & (F.col("id") >= first)
+        fits = later("__score", at["__score"]) | (same("__score", at["__score"]) & (later("__head", at["__head"]) | left))
+    kept, out = scored.where(fits), scored.where(~fits)
     columns = g.triples.columns
     ends = kept.select(F.explode(F.array("s", "o")).alias("id")).union(seeds.select("id"))
     return Graph(g.nodes.join(ends, "id", "left_semi"), kept.select(*columns, F.col("__score"))), out.select("id", "confidence", "__score")
@@ -256,7 +268,8 @@ def pack(g: Graph, question: str, hops: int = HOPS, k: int = SEEDS, budget: int
     if not seeds:
         return replace(empty, suggestions=[(r.id, r.label) for r in suggestions(g.nodes, words).collect()])
     start = _ids(g.nodes, seeds)
-    reached = written(graph.distances(g.triples, start, graph.hops(hops) + 2))
+    # an end of a triple near seeds is within hops of one, and any node of a path between seeds within half of it
+    reached = written(graph.distances(g.triples, start, max(graph.hops(hops), (graph.hops(hops) + 2) // 2)))
     near = graph.incident(g.triples, reached.where(F.col("depth") < graph.hops(hops))) if graph.hops(hops) else g.triples.limit(0)
     inside, paths = reached.where(F.col("depth") <= graph.hops(hops)).select("id"), []
     for i, a in enumerate(seeds[:3]):
