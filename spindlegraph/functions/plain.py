@@ -11,9 +11,12 @@ TIERS = ("AMBIGUOUS", "INFERRED", "EXTRACTED")
 STOPWORDS = frozenset("a an and are did do does for how in is of on or the to what why".split())
 SECRETS = (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", r"\bAKIA[0-9A-Z]{16}\b", r"\bsk-[A-Za-z0-9_-]{10,}\b")
 _SECRETS = [re.compile(rx, re.ASCII) for rx in SECRETS]
+_BETWEEN = re.compile("[^a-z0-9]+")
 
 
 def redacted(text: str) -> str:
+    if "sk-" not in text and "AKIA" not in text and "-----BEGIN " not in text:
+        return text
     for rx in _SECRETS:
         text = rx.sub("[REDACTED]", text)
     return text
@@ -21,6 +24,8 @@ def redacted(text: str) -> str:
 
 def slug(label: str) -> str:
     """Letters and digits of the label's compatibility form in lower case, with single hyphens between; unnamed where there are none."""
+    if label.isascii():
+        return _BETWEEN.sub("-", label.lower()).strip("-") or "unnamed"
     folded = unicodedata.normalize("NFKC", label).lower()
     kept = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded)
     return "-".join(x for x in kept.split(" ") if x) or "unnamed"

@@ -109,12 +109,25 @@ SCHEMA = pa.schema([(f, _ARRAYS.get(f) or _INTS.get(f) or pa.string()) for f in
 DDL = ", ".join(f"{f} {'array<string>' if f in _ARRAYS else 'long' if f == 'ord' else 'int' if f in _INTS else 'string'}" for f in FIELDS)
 
 
-def rows_of(found: parsers.Found) -> list[dict]:
-    common = {"path": found.path, "content_hash": found.content_hash}
-    out = [{"kind": "file", **common}]
-    out += [{"kind": "node", **common, "ord": i, **n} for i, n in enumerate(found.nodes.values())]
-    out += [{"kind": "triple", **common, "ord": i, "s": e["s"], "p": e["p"], "o": e["o"], "extractor": e["extractor"], "start_line": e["line"], "end_line": e["line"]} for i, e in enumerate(found.evidence)]
-    return out + [{"kind": "diagnostic", **common, "ord": i, "code": c, "message": m} for i, (c, m) in enumerate(found.diagnostics)]
+#: Rows of so many files as come to this number are sent back together.
+ROWS = 8192
+
+
+def rows_of(found: parsers.Found, kinds: Sequence[str] = ("file", "node", "triple", "diagnostic")) -> Iterator[tuple]:
+    """A file's rows of these kinds, by FIELDS."""
+    at, hash_ = found.path, found.content_hash
+    none = (None,) * len(FIELDS)
+    if "file" in kinds:
+        yield ("file", at, hash_, *none[3:])
+    if "node" in kinds:
+        for i, n in enumerate(found.nodes.values()):
+            yield ("node", at, hash_, i, n["id"], n["type"], n["label"], n["description"], n["aliases"], *none[9:])
+    if "triple" in kinds:
+        for i, e in enumerate(found.evidence):
+            yield ("triple", at, hash_, i, *none[4:9], e["s"], e["p"], e["o"], e["extractor"], e["line"], e["line"], None, None)
+    if "diagnostic" in kinds:
+        for i, (c, m) in enumerate(found.diagnostics):
+            yield ("diagnostic", at, hash_, i, *none[4:15], c, m)
 
 
 def parse(path: str, data: bytes, registry: dict[str, tuple[str, parsers.Parser]] | None = None) -> parsers.Found:
@@ -127,21 +140,44 @@ def parse(path: str, data: bytes, registry: dict[str, tuple[str, parsers.Parser]
     return known[1](path, data.decode("utf-8", "replace"), plain.content_hash(data))
 
 
-def _extract(registry: dict[str, tuple[str, parsers.Parser]]):
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+
+
+def _extract(registry: dict[str, tuple[str, parsers.Parser]], kinds: Sequence[str] = ("file", "node", "triple", "diagnostic")):
+    """Rows of these kinds of each file (path, content)."""
+
+    def of_file(path: str, data: bytes) -> Iterator[tuple]:
+        name = _local(path) or path
+        try:
+            found = parse(name, data, registry)
+        except Exception as why:  # one file's error is that file's diagnostic
+            found = parsers.Found(name, plain.content_hash(data))
+            found.note("EXTRACT_FAILED", f"{type(why).__name__}: {why}")
+            return rows_of(found, [k for k in kinds if k == "diagnostic"])
+        return rows_of(found, kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                name = _local(path) or path
-                try:
-                    rows = rows_of(parse(name, data, registry))
-                except Exception as why:  # one file's error is that file's diagnostic
-                    rows = [{"kind": "diagnostic", "path": name, "content_hash": plain.content_hash(data), "ord": 0, "code": "EXTRACT_FAILED", "message": f"{type(why).__name__}: {why}"}]
-                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                for row in of_file(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                    rows.append(row)
+                    if len(rows) >= ROWS:
+                        yield _batch(rows)
+                        rows = []
+        if rows:
+            yield _batch(rows)
 
     return run
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files over many tasks: a parser takes much longer than reading what a task of Spark's reads at once."""
+    spark = files.sparkSession
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 @dataclass
 class Extracted:
     """files: (path, content_hash); nodes, evidence: as normalize takes them; diagnostics: (path, code, message)."""

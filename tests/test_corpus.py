@@ -363,3 +363,32 @@ def test_coerced_types_join_no_evidence(spark):
         assert sorted((r.s, r.p, r.o) for r in passed.collect()) == sorted((s, "related_to" if p == "hates" else p, o) for s, p, o in rows if policy == "coerce" or p == "knows")
         assert {r.id: r.type for r in typed.collect()} == {"a": "Person", "b": "Concept", "c": "Odd"} and [json.loads(r.payload)["proposed_p"] for r in asked.collect()] == ["hates"] * (policy == "review")
     assert "Join" not in passed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_spread_and_their_rows_sent_together(spark):
+    files = spark.createDataFrame([(f"f{k}.md", f"[[a]] --p--> [[b{k}]]\n".encode()) for k in range(200)], "path string, content binary").coalesce(1)
+    assert discover.spread(files).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    registry = {".md": ("markdown", parsers.markdown)}
+    batch = files.toArrow().to_batches()[0]
+    assert [(b.num_rows, set(b["kind"].to_pylist())) for b in discover._extract(registry, ("triple",))(iter([batch]))] == [(200, {"triple"})]
+    whole = [r for b in discover._extract(registry)(iter([batch])) for r in b.to_pylist()]
+    assert [r["kind"] for r in whole[:4]] == ["file", "node", "node", "triple"] and len(whole) == 800 and whole[3]["o"] == "Concept:b0" and whole[3]["start_line"] == 1
+    failed = [r for b in discover._extract({".md": ("x", lambda *_: 1 / 0)})(iter([batch.slice(0, 1)])) for r in b.to_pylist()]
+    assert [(r["kind"], r["code"]) for r in failed] == [("diagnostic", "EXTRACT_FAILED")]
+
+
+def test_short_ways_give_what_the_rules_give():
+    def uncommented(line):
+        quote = ""
+        for i, c in enumerate(line):
+            if c in "'\"" and quote in ("", c):
+                quote = "" if quote else c
+            elif c == "#" and not quote and (i == 0 or line[i - 1] in " \t"):
+                return line[:i]
+        return line
+
+    rng = random.Random(4)
+    for _ in range(5000):
+        line, label = ("".join(rng.choice(signs) for _ in range(rng.randrange(12))) for signs in ("ab:# \t'\"", "aZ0 -_."))
+        assert parsers._uncommented(line) == uncommented(line)
+        assert plain.slug(label) == ("-".join("".join(c if c.isalnum() else " " for c in label.lower()).split()) or "unnamed")
