@@ -128,25 +128,37 @@ def changed(evidence: DataFrame, stays: Column) -> DataFrame:
 
 
 def shortest_path(triples: DataFrame, start: str, end: str, most: int = 6) -> list[tuple[str, str | None]]:
-    """(node, predicate to the next) along a shortest path, or nothing; of parents, the one of the first predicate, then id, in the order that people use. The driver holds the path alone."""
+    """(node, predicate to the next) along a shortest path, or nothing; of parents, the one of the first predicate, then id, in the order that people use. The driver holds the path alone.
+
+    Levels are found from both ends, always from that of the smaller last one, until they meet; parents are asked for along the path alone."""
     if start == end:
         return [(start, None)]
     spark, links = triples.sparkSession, adjacent(triples).select("u", "v", "p")
-    levels = [spark.createDataFrame([(start, None, None)], "id string, p string, parent string")]
-    for _ in range(hops(most, 6)):
-        near = links.join(few(levels[-1].select(F.col("id").alias("u"))), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct(F.expr("p collate unicode").alias("pk"), F.expr("u collate unicode").alias("uk"), "p", "u")).alias("m")).select("id", F.col("m.p").alias("p"), F.col("m.u").alias("parent"))
-        for before in levels[-2:]:
-            near = near.join(few(before.select("id")), "id", "left_anti")
-        near = written(near)
-        levels.append(near)
-        if near.isEmpty():
+    beyond = lambda ids: links.join(few(ids.select(F.col("id").alias("u"))), "u").select(F.col("v").alias("id")).distinct()
+    sides, sizes = [[spark.createDataFrame([(i,)], "id string")] for i in (start, end)], [1, 1]
+    while len(sides[0]) + len(sides[1]) - 2 < hops(most, 6):
+        k = int(sizes[1] < sizes[0])
+        level = beyond(sides[k][-1])
+        for before in sides[k][-2:]:
+            level = level.join(few(before), "id", "left_anti")
+        sides[k].append(written(level))
+        sizes[k] = sides[k][-1].count()
+        if not sizes[k]:
             return []
-        if not near.where(F.col("id") == end).isEmpty():
+        met = written(sides[k][-1].join(few(sides[1 - k][-1]), "id", "left_semi"))
+        if not met.isEmpty():
             break
     else:
         return []
+    # levels from the start: whole ones as far as they were found from there, then nodes on shortest paths
+    levels = [*sides[0][:-1], met]
+    for there in sides[1][-2:0:-1]:
+        levels.append(written(beyond(levels[-1]).join(few(there), "id", "left_semi")))
+    if len(sides[1]) == 1:
+        levels.pop()
     path: list[tuple[str, str | None]] = [(end, None)]
-    for level in levels[:0:-1]:
-        found = level.where(F.col("id") == path[-1][0]).first()
-        path.append((found["parent"], found["p"]))
+    for level in levels[::-1]:
+        into = links.where(F.col("v") == path[-1][0]).join(few(level.select(F.col("id").alias("u"))), "u")
+        found = into.agg(F.min(F.struct(F.expr("p collate unicode").alias("pk"), F.expr("u collate unicode").alias("uk"), "p", "u")).alias("m")).first()["m"]
+        path.append((found["u"], found["p"]))
     return path[::-1]

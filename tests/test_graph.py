@@ -325,3 +325,24 @@ def test_what_evidence_leaves_is_the_difference(spark):
     assert sorted(map(tuple, graph.changed(ev, stays).collect())) == sorted(map(tuple, want.collect()))
     plan = graph.without_sources(ev, spark.createDataFrame([("f", 1)], "source string, line int"))._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan.lower()
+
+
+def test_shortest_paths_are_brute_force(spark):
+    rng = random.Random(8)
+    rows = sorted({(f"n{rng.randrange(40):02}", rng.choice("pq"), f"n{rng.randrange(40):02}") for _ in range(55)}) + [("x", "p", "y")]
+    t = triples(spark, rows).coalesce(1).cache()
+    both = [(s, p, o) for s, p, o in rows] + [(o, p, s) for s, p, o in rows]
+    lengths = set()
+    for start, end, most in (("n00", "n31", 6), ("n05", "n20", 6), ("n12", "n33", 6), ("n33", "n12", 2), ("n00", "x", 6)):
+        level, parent, seen = {start}, {}, {start}
+        for _ in range(most):
+            near = {v for u, _, v in both if u in level} - seen
+            parent |= {v: min((p, u) for u, p, w in both if w == v and u in level) for v in near}
+            level, seen = near, seen | near
+        want = [(end, None)] if end in parent else []
+        while want and want[-1][0] != start:
+            p, u = parent[want[-1][0]]
+            want.append((u, p))
+        assert graph.shortest_path(t, start, end, most) == want[::-1]
+        lengths.add(len(want))
+    assert len(lengths) > 2 and max(lengths) > 3
