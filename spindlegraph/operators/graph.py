@@ -68,12 +68,26 @@ def hops(depth: float | None, default: int = 2) -> int:
     return default if depth is None or depth != depth else min(MOST_HOPS, max(0, int(depth)))
 
 
+def incident(triples: DataFrame, ids: DataFrame) -> DataFrame:
+    """Triples with an end among ids."""
+    keys = few(ids.select("id").distinct())
+    found = triples
+    for end in "so":
+        found = found.join(keys.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    return found.where("__s or __o").select(*triples.columns)
+
+
+def beyond(triples: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct ids that a triple links with any of ids, in either direction. Both ways are spelled for the triples that have one alone."""
+    both = incident(triples.select("s", "o"), ids).select(F.inline(F.array(F.struct(F.col("s").alias("u"), F.col("o").alias("id")), F.struct(F.col("o").alias("u"), F.col("s").alias("id")))))
+    return both.join(few(ids.select(F.col("id").alias("u"))), "u").select("id").distinct()
+
+
 def distances(triples: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, depth) of every node within `most` hops of a seed, in either direction. Each level is written, so a lost executor costs one level."""
-    links = adjacent(triples).select("u", "v")
     reached = [seeds.select("id").distinct().withColumn("depth", F.lit(0))]
     for depth in range(1, hops(most) + 1):
-        level = links.join(few(reached[-1].select(F.col("id").alias("u"))), "u").select(F.col("v").alias("id")).distinct()
+        level = beyond(triples, reached[-1])
         for before in reached[-2:]:  # a neighbour of the last level is at most one level nearer than it
             level = level.join(few(before.select("id")), "id", "left_anti")
         level = written(level.withColumn("depth", F.lit(depth)))
@@ -83,15 +97,6 @@ def distances(triples: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return reduce(DataFrame.union, reached)
 
 
-def incident(triples: DataFrame, ids: DataFrame) -> DataFrame:
-    """Triples with an end among ids."""
-    keys = few(ids.select("id").distinct())
-    found = triples
-    for end in "so":
-        found = found.join(keys.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
-    return found.where("__s or __o").select(*triples.columns)
-
-
 def degrees(nodes: DataFrame, triples: DataFrame) -> DataFrame:
     """Each triple counts at both its ends, a loop twice."""
     ends = triples.select(F.explode(F.array("s", "o")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
@@ -133,12 +138,11 @@ def shortest_path(triples: DataFrame, start: str, end: str, most: int = 6) -> li
     Levels are found from both ends, always from that of the smaller last one, until they meet; parents are asked for along the path alone."""
     if start == end:
         return [(start, None)]
-    spark, links = triples.sparkSession, adjacent(triples).select("u", "v", "p")
-    beyond = lambda ids: links.join(few(ids.select(F.col("id").alias("u"))), "u").select(F.col("v").alias("id")).distinct()
+    spark = triples.sparkSession
     sides, sizes = [[spark.createDataFrame([(i,)], "id string")] for i in (start, end)], [1, 1]
     while len(sides[0]) + len(sides[1]) - 2 < hops(most, 6):
         k = int(sizes[1] < sizes[0])
-        level = beyond(sides[k][-1])
+        level = beyond(triples, sides[k][-1])
         for before in sides[k][-2:]:
             level = level.join(few(before), "id", "left_anti")
         sides[k].append(written(level))
@@ -153,12 +157,13 @@ def shortest_path(triples: DataFrame, start: str, end: str, most: int = 6) -> li
     # levels from the start: whole ones as far as they were found from there, then nodes on shortest paths
     levels = [*sides[0][:-1], met]
     for there in sides[1][-2:0:-1]:
-        levels.append(written(beyond(levels[-1]).join(few(there), "id", "left_semi")))
+        levels.append(written(beyond(triples, levels[-1]).join(few(there), "id", "left_semi")))
     if len(sides[1]) == 1:
         levels.pop()
     path: list[tuple[str, str | None]] = [(end, None)]
     for level in levels[::-1]:
-        into = links.where(F.col("v") == path[-1][0]).join(few(level.select(F.col("id").alias("u"))), "u")
+        at = path[-1][0]
+        into = adjacent(triples.where((F.col("s") == at) | (F.col("o") == at))).where(F.col("v") == at).join(few(level.select(F.col("id").alias("u"))), "u")
         found = into.agg(F.min(F.struct(F.expr("p collate unicode").alias("pk"), F.expr("u collate unicode").alias("uk"), "p", "u")).alias("m")).first()["m"]
         path.append((found["u"], found["p"]))
     return path[::-1]
